@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ def grid_rows(preds: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
 
 
 def run_grid(real: DataFrame, synthetic: DataFrame, classes: Sequence[str] = CLASSES, **settings) -> DataFrame:
-    """Both variants in one result table."""
-    _, plain = grid_variant(real, None, classes, **settings)
-    _, augmented = grid_variant(real, synthetic, classes, **settings)
+    """Both variants in one result table; their jobs are submitted together."""
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        runs = pool.map(lambda s: grid_variant(real, s, classes, **settings)[1], [None, synthetic])
+        plain, augmented = runs
     return grid_rows(plain.unionByName(augmented), classes)

@@ -14,7 +14,7 @@ from tocsin.functions.romanize import LATIN_ACCENTS
 from tocsin.operators import augment, embeddings, evaluate, experiments, features, labels
 from tocsin.operators import naive_bayes as nb
 from tocsin.operators import profile, sampling, scoring
-from tocsin.operators.linear import calibrate, lr_fit, predict, svm_fit, vector_table
+from tocsin.operators.linear import calibrate, lr_fit, predict, svm_fit, train_table
 from tocsin.operators.romanize import romanize_table
 from tocsin.plans import fixtures as fx
 from tocsin.session import materialize, scratch_path
@@ -650,7 +650,7 @@ def _vectors(spark, sf):
     train, test = fx.split_of(p, "train"), fx.split_of(p, "test")
     fitted = scoring.fit_text_model(train, kinds=[])
     x = scoring.features_of(train, fitted)
-    vectors = vector_table(x, train, profile.class_weights(train), fitted.vocab.count())
+    vectors = train_table(x, train, profile.class_weights(train), fitted.vocab.count())
     docs = test.select("doc_id", F.col("target_label").alias("y_true"))
     return x, vectors, scoring.features_of(test, fitted), docs
 
