@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tocsin.constants import MAX_DF, MAX_FEATURES, MIN_DF
 from tocsin.functions.text import ngrams, tokens
+from tocsin.session import cluster_by
 
 
 def ngrams_table(
@@ -34,10 +35,11 @@ def ngrams_table(
     """
     rows = df.select(id_col, *carry, text_col)
     if not clustered:
-        rows = rows.repartition(id_col)
-    grams = ngrams(tokens(text_col, keep_marks), lo, hi)
+        rows = cluster_by(rows, id_col)
+    # Tokens are a column of their own: the n-grams refer to them several times.
     return (
-        rows.select(id_col, *carry, F.explode(grams).alias("term"))
+        rows.select(id_col, *carry, tokens(text_col, keep_marks).alias("_tokens"))
+        .select(id_col, *carry, F.explode(ngrams(F.col("_tokens"), lo, hi)).alias("term"))
         .groupBy(id_col, *carry, "term")
         .agg(F.count("*").alias("tf"))
     )

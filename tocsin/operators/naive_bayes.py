@@ -26,17 +26,17 @@ def nb_counts(
     maximum is a constant factor of each term's sums, so the scaler and the
     class masses come out of the same pass and the scaled table is never built.
     """
-    per_class = (
-        features.groupBy(label_col, "term_id")
-        .agg(F.sum("x").alias("x"), F.max(F.abs("x")).alias("m"))
-        .join(F.broadcast(weights.select(label_col, "weight")), label_col)  # one row per class
+    label = F.col(label_col)
+    sums = features.groupBy("term_id").agg(
+        F.max(F.abs("x")).alias("max_abs"),
+        *[F.sum(F.when(label == c, F.col("x"))).alias(f"x{k}") for k, c in enumerate(classes)],
     )
-    divisor = F.coalesce(F.nullif(F.max("m"), F.lit(0.0)), F.lit(1.0))
-    mass = [
-        F.coalesce(F.sum(F.when(F.col(label_col) == c, F.col("x") * F.col("weight"))), F.lit(0.0)) / divisor
-        for c in classes
-    ]
-    return per_class.groupBy("term_id").agg(F.max("m").alias("max_abs"), F.array(*mass).alias("mass"))
+    by_class = weights.agg(
+        F.array(*[F.max(F.when(label == c, F.col("weight"))) for c in classes]).alias("w")
+    ).scalar()
+    divisor = F.coalesce(F.nullif(F.col("max_abs"), F.lit(0.0)), F.lit(1.0))
+    mass = [F.coalesce(F.col(f"x{k}") * F.col("_w")[k], F.lit(0.0)) / divisor for k in range(len(classes))]
+    return sums.withColumn("_w", by_class).select("term_id", "max_abs", F.array(*mass).alias("mass"))
 
 
 def nb_prior(weights: DataFrame, classes: Sequence[str] = CLASSES, label_col: str = "target_label") -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from tocsin.functions.keys import seeded_key
 
 MAX_LOOKUP_ROWS = 100_000  # a lookup handed over as Python rows is broadcast only up to here
-GROUP_LIMIT = 1_000  # spark.sql.optimizer.windowGroupLimitThreshold default
 
 
 def snake(name: str) -> str:
@@ -43,7 +42,7 @@ def top_n_per_group(
     a group is split over salts, each salt keeps its own first ``n``, and only
     those rows meet in one task. Both ways are exact.
     """
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         salted = Window.partitionBy(*by, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))

@@ -24,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tocsin/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses.
+
+    Everything of one application lies in one folder, to be removed with it.
+    """
+    return f"{shared_dir(spark)}/tocsin/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +46,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition a scan that has fewer splits than the cluster has cores.
 
     Large inputs already have more splits than cores and pass through with no
-    shuffle; one small file would otherwise be cleaned by a single task.
+    shuffle; one small file would otherwise be cleaned by a single task. The
+    number is given, because adaptive execution merges partitions by their
+    bytes and text work costs far more than its bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def cluster_by(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` over the configured number of shuffle partitions.
+
+    Given as a number for the same reason as in :func:`spread`: what follows
+    multiplies the rows.
     """
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(key)
-    return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
