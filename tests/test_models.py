@@ -89,6 +89,7 @@ def test_tfidf_and_naive_bayes_against_brute_force(spark, train, held):
         proba = np.exp(joint - joint.max())
         assert rows[r["doc_id"]]["proba"] == pytest.approx(list(proba / proba.sum()))
     assert rows[1005]["proba"] == pytest.approx([0.2] * 5)  # no known term: the prior alone
+    assert rows[1005]["y_pred"] == CLASSES[0]  # a draw goes to the first class
 
 
 def test_vocabulary_ignores_heldout_rows_and_bounds_are_inclusive(spark, train):

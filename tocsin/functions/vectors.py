@@ -16,9 +16,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+TIE_DIGITS = 9  # scores that agree to this many decimals are a draw
+
+
 def arg_max(scores: Column) -> Column:
-    """Zero-based position of the largest score, the first one on a tie."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    """Zero-based position of the largest score, the first one on a draw.
+
+    Sums of the same numbers in another order differ in their last bits, so
+    equal scores are recognised after rounding.
+    """
+    rounded = F.transform(scores, lambda s: F.round(s, TIE_DIGITS))
+    return (F.array_position(rounded, F.array_max(rounded)) - 1).cast("int")
 
 
 def softmax(scores: Column) -> Column:

@@ -276,7 +276,7 @@ def nb_scored(rows: str, terms_x: str, name: str) -> str:
 {name}_proba AS (
   SELECT alpha, doc_id, y_true, class_id, s, e / sum(e) OVER (PARTITION BY alpha, doc_id) AS p FROM {name}_p),
 {name} AS (
-  SELECT alpha, doc_id, y_true, {CLASS_LIST}[arg_max(class_id, s) + 1] AS y_pred
+  SELECT alpha, doc_id, y_true, {CLASS_LIST}[first(class_id ORDER BY round(s, 9) DESC, class_id) + 1] AS y_pred
   FROM {name}_proba GROUP BY alpha, doc_id, y_true)"""
 
 
