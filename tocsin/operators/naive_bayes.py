@@ -63,13 +63,17 @@ def nb_fit(
     counts = nb_counts(features, weights, classes, label_col)
     alphas = [alpha] if isinstance(alpha, (int, float)) else list(alpha)
     everything = Window.partitionBy()  # vocabulary rows
-    n_terms = F.count("*").over(everything)
+    totals = counts.select(
+        "*",
+        F.array(*[F.sum(F.col("mass")[k]).over(everything) for k in range(len(classes))]).alias("_totals"),
+        F.count("*").over(everything).alias("_terms"),
+    )
     logs = [
-        F.log(F.col("mass")[k] + a) - F.log(F.sum(F.col("mass")[k]).over(everything) + n_terms * a)
+        F.log(F.col("mass")[k] + a) - F.log(F.col("_totals")[k] + F.col("_terms") * a)
         for a in alphas
         for k in range(len(classes))
     ]
-    return counts.select("term_id", "max_abs", F.array(*logs).alias("log_prob"))
+    return totals.select("term_id", "max_abs", F.array(*logs).alias("log_prob"))
 
 
 def _joint(features: DataFrame, params: DataFrame, width: int, id_col: str) -> DataFrame:
