@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.llm.cap_filters import near_vectors
+from tocsin.llm.line_dedup import drop_repeated_lines
+from tocsin.llm.packing import pack
 from tocsin.llm.sharding import shard, with_slots
+from tocsin.llm.simhash import near_duplicates
+from tocsin.llm.top_k import top_k
 from tocsin.llm.url_filter import Rule, judge
+from tocsin.llm.workers import prepare_workers
 
 SHARDS = 8
 URL_RULES = [
@@ -19,14 +26,35 @@ URL_RULES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at cosine 0.98 within their label."""
+    return near_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by rules, else by the exact list of bad hosts."""
     return judge(_read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length; each is a sequence of its own, so it starts at 0."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        F.monotonically_increasing_id().alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and next shard of every document by its id."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -39,8 +67,32 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_slots(shard(docs, "doc_id", SHARDS), "doc_id")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best five rows of every vector whose id is divisible by 50."""
+    vectors = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier one holds."""
+    kept = drop_repeated_lines(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
+    "op2_near_vectors": op2_near_vectors,
     "op4_url_filter": op4_url_filter,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_simhash": op7_simhash,
+    "op8_top_k": op8_top_k,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
