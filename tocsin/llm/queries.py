@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.llm import pieces, quality, toxicity
 from tocsin.llm.cap_filters import near_vectors
 from tocsin.llm.line_dedup import drop_repeated_lines
 from tocsin.llm.packing import pack
@@ -30,11 +31,33 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, chance of a readable text and decision for every document."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    train = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    model = quality.fit(docs, train, quality.graded(F.col("quality"), F.col("toxic")))
+    return quality.judge(docs, model).drop("text")
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of all vectors at cosine 0.98 within their label."""
     return near_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids, spans and decoded text of every document."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    done = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.crc32("spans").alias("spans_crc32"),
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by rules, else by the exact list of bad hosts."""
     return judge(_read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
@@ -86,13 +109,28 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision for every document; the model never sees the held-out third's labels."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_near_vectors": op2_near_vectors,
+    "op3_pieces": op3_pieces,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

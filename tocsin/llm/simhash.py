@@ -240,3 +240,20 @@ def near_duplicates(
     return found.join(classes, "print").select(
         F.col("id").alias(key), as_hex(F.col("print")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """One row of every class of near duplicates, with all its columns: that with the smallest key.
+
+    A row is told apart by its key and the digest of its text, so rows that
+    repeat both are one row, a key with two texts can stay for both, and rows
+    with a null key come after all others but can stay too.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    row = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.md5(body.cast("binary")).alias("text"))
+    named = docs.withColumn("_row", row)
+    classes = near_duplicates(named, "_row", text, shingle, max_bits)
+    first = classes.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    return named.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
