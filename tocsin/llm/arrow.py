@@ -7,10 +7,27 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Batches = Iterable[pa.RecordBatch]
 
 
+def kinds(df: DataFrame, columns: list[str]) -> str:
+    """Schema text of some columns."""
+    return ", ".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def whole_row(columns: list[str]) -> Column:
+    """All columns as one struct: whatever a row brings along cannot clash with names used on the way."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
+def unpacked(rows: pa.StructArray, columns: list[str], **replaced: pa.Array) -> list[pa.Array]:
+    """Columns of such structs, some replaced."""
+    return [replaced.get(c, a) for c, a in zip(columns, rows.flatten())]
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

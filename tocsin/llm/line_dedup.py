@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.arrow import Batches, raw
+from tocsin.llm.arrow import Batches, kinds, raw, unpacked, whole_row
 from tocsin.session import materialize
 
 MIN_LENGTH = 10
@@ -182,8 +182,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     return (
         found.join(first, "digest")
         .filter(F.col("id") != F.col("_first"))
-        .groupBy(F.col("id").alias("_id"))
-        .agg(F.collect_set("digest").alias("_digests"))
+        .groupBy("id")
+        .agg(F.collect_set("digest").alias("digests"))
     )
 
 
@@ -191,7 +191,8 @@ def _cut(min_length: int, columns: list[str], text: str):
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, totals, dropped = [], [], []
-            for body, gone in zip(raw(batch.column(text)), batch.column("_digests").to_pylist()):
+            rows = batch.column("row")
+            for body, gone in zip(raw(rows.field(columns.index(text))), batch.column("gone").to_pylist()):
                 lines = body.split(b"\n")
                 totals.append(len(lines))
                 if gone:
@@ -202,11 +203,9 @@ def _cut(min_length: int, columns: list[str], text: str):
                     body = b"\n".join(lines)
                 kept.append(body)
                 dropped.append(totals[-1] - len(lines))
-            arrays = [
-                pa.array(kept, pa.binary()).cast(pa.string()) if c == text else batch.column(c) for c in columns
-            ]
+            own = unpacked(rows, columns, **{text: pa.array(kept, pa.binary()).cast(pa.string())})
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
+                [*own, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
                 [*columns, "n_lines", "n_dropped"],
             )
 
@@ -230,9 +229,9 @@ def drop_repeated_lines(
     ``n_lines`` or ``n_dropped`` are replaced. An empty table stays empty.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*columns).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
-    joined = rows.join(repeated_lines(docs, key, text, min_length), F.col("_key") == F.col("_id"), "left")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return joined.select(*columns, "_digests").mapInArrow(
-        _cut(min_length, columns, text), f"{kinds}, n_lines long, n_dropped long"
+    rows = docs.select(whole_row(columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"))
+    gone = repeated_lines(docs, key, text, min_length)
+    joined = rows.join(gone, F.col("key") == F.col("id"), "left").select("row", F.col("digests").alias("gone"))
+    return joined.mapInArrow(
+        _cut(min_length, columns, text), f"{kinds(docs, columns)}, n_lines long, n_dropped long"
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.arrow import Batches, raw
+from tocsin.llm.arrow import Batches, kinds, raw, unpacked, whole_row
 from tocsin.llm.learn import BUCKETS, EMPTY, Adam, bucket, labelled_sample, sigmoid, softplus
 from tocsin.llm.memo import Memo
 
@@ -187,16 +187,15 @@ def fit(
     return fit_texts(raw(sample.column("text").combine_chunks()), y, weight[y].astype(float), grades)
 
 
-def _judge(model, wanted: int):
+def _judge(model, wanted: int, columns: list[str]):
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = model.value
-        names = ["expected_grade", "tail_probability"]
         for batch in batches:
-            tails = own.tails(np.array([own.latent(x) for x in raw(batch.column("_text"))]))
-            kept = [n for n in batch.schema.names if n != "_text"]
+            tails = own.tails(np.array([own.latent(x) for x in raw(batch.column("text"))]))
+            rows = unpacked(batch.column("row"), columns)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in kept], pa.array(tails.sum(axis=1)), pa.array(tails[:, wanted - 1].copy())],
-                [*kept, *names],
+                [*rows, pa.array(tails.sum(axis=1)), pa.array(tails[:, wanted - 1].copy())],
+                [*columns, "expected_grade", "tail_probability"],
             )
 
     return task
@@ -213,9 +212,8 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text", wanted: int
     if not 1 <= wanted <= len(model.thresholds):
         raise ValueError("wanted must be a grade above the lowest")
     columns = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.select(*columns, F.col(text).alias("_text")).mapInArrow(
-        _judge(shared, wanted), f"{kinds}, expected_grade double, tail_probability double"
+    scored = docs.select(whole_row(columns).alias("row"), F.col(text).alias("text")).mapInArrow(
+        _judge(shared, wanted, columns), f"{kinds(docs, columns)}, expected_grade double, tail_probability double"
     )
     return scored.withColumn("kept", F.col("tail_probability") >= LEAST_TAIL)

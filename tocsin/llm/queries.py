@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tocsin.llm import pieces, quality, toxicity
 from tocsin.llm.cap_filters import near_vectors
 from tocsin.llm.line_dedup import drop_repeated_lines
+from tocsin.llm.oracles import ORACLES
 from tocsin.llm.packing import pack
 from tocsin.llm.sharding import shard, with_slots
 from tocsin.llm.simhash import near_duplicates
@@ -133,4 +134,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -119,21 +119,23 @@ def with_slots(
     rows = df.select(F.lit(1)).count()
     while 16**digits * per_bucket < rows:
         digits += 1
-    keyed = df.withColumns(
-        {"_digest": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))}
-    ).withColumn("_bucket", F.substring("_digest", 1, digits))
-    before = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [c for c in df.columns if c != name]
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    keyed = df.select(
+        F.struct(*columns).alias("row"), F.col(by).alias("by"), digest.alias("digest"), F.col(key).alias("key")
+    ).withColumn("bucket", F.substring("digest", 1, digits))
+    before = Window.partitionBy("by").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        keyed.groupBy(F.col(by).alias("_by"), F.col("_bucket").alias("_at"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        keyed.groupBy("by", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .drop("n")
     )
-    inside = Window.partitionBy(by, "_bucket").orderBy("_digest", key, *[c for c in df.columns if c != key])
+    inside = Window.partitionBy("by", "bucket").orderBy("digest", "key", "row")
     return (
-        keyed.join(starts, (F.col(by) == F.col("_by")) & (F.col("_bucket") == F.col("_at")))
-        .withColumn(name, (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_digest", "_bucket", "_by", "_at", "_start")
+        keyed.join(starts, ["by", "bucket"])
+        .withColumn("slot", (F.col("start") + F.row_number().over(inside) - 1).cast("long"))
+        .select("row.*", F.col("slot").alias(name))
     )
 
 

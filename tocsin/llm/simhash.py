@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.arrow import Batches, forest, groups, raw
+from tocsin.llm.arrow import Batches, forest, groups, raw, whole_row
 from tocsin.llm.components import components
 from tocsin.session import materialize
 
@@ -253,7 +253,7 @@ def drop_near_duplicates(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("key"), F.md5(body.cast("binary")).alias("text"))
-    named = docs.withColumn("_row", row)
-    classes = near_duplicates(named, "_row", text, shingle, max_bits)
-    first = classes.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
-    return named.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    named = docs.select(whole_row(docs.columns).alias("row"), row.alias("name"), F.col(text).alias("text"))
+    classes = near_duplicates(named, "name", "text", shingle, max_bits)
+    first = classes.filter(F.col("name") == F.col("component_id")).select("name").distinct()
+    return named.join(first, "name", "left_semi").dropDuplicates(["name"]).select("row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.arrow import Batches, raw
+from tocsin.llm.arrow import Batches, kinds, raw, unpacked, whole_row
 from tocsin.llm.learn import BUCKETS, EMPTY, Adam, bucket, labelled_sample, sigmoid, softplus
 from tocsin.llm.memo import Memo
 
@@ -27,6 +27,7 @@ PER_CLASS = 2500  # labelled documents of each class that the model is fitted on
 ROUNDS = 400
 RATE = 0.05
 SPARSITY = 3e-5  # absolute-value penalty: a feature must gain that much likelihood per unit of weight
+EVIDENCE = 3.0  # standard deviations by which a feature must lean towards toxic documents
 LEAST_DOCS = 4  # documents of the sample that a feature must occur in
 THRESHOLD = 0.7
 MAX_WORDS = 64  # a sentence without an end is read in stretches of so many words
@@ -175,15 +176,18 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds:
     for _ in range(ROUNDS // 4):
         adam.step(values, {"bias": pull(np.repeat(values["bias"], n_sentences)).sum(keepdims=True)})
 
-    # Only features that occur often enough and would gain more than the penalty are fitted.
+    # Only features that occur often enough and lean towards toxic documents are fitted, and
+    # their weights are never negative: no word makes up for an offensive one.
     table = np.array([features(x) for x in index], np.int32)
     doc_of = np.repeat(np.arange(len(counts)), counts)[sentence]
     pairs = np.unique(doc_of.astype(np.int64) * len(index) + token)
     seen = np.bincount(table[pairs % len(index)].ravel(), minlength=BUCKETS)
     dz = pull(np.repeat(values["bias"], n_sentences))
-    dword = np.bincount(token, dz[sentence], len(index))
-    gain = np.abs(np.bincount(table.ravel(), np.repeat(dword, table.shape[1]), BUCKETS))
-    useful = (gain > SPARSITY / 2) & (seen >= LEAST_DOCS)
+
+    def per_feature(x: np.ndarray) -> np.ndarray:
+        return np.bincount(table.ravel(), np.repeat(np.bincount(token, x[sentence], len(index)), table.shape[1]), BUCKETS)
+
+    useful = (-per_feature(dz) > EVIDENCE * np.sqrt(per_feature(dz * dz))) & (seen >= LEAST_DOCS)
     useful[EMPTY] = False
     part = shares(table)
     table = np.where(useful[table], table, EMPTY)
@@ -194,23 +198,17 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds:
     token, sentence = new[token[known]], sentence[known]
 
     values["weights"] = np.zeros(BUCKETS)
-    for turn in range(rounds + rounds // 2):
-        # what has been chosen is fitted on with hardly any penalty, else weights stay short
+    for turn in range(2 * rounds):
+        # fitted on with hardly any penalty at the end, else weights stay short
         penalty = SPARSITY if turn < rounds else SPARSITY / 20
-        if turn == rounds:
-            useful &= values["weights"] != 0
         word = (values["weights"][table] * part).sum(axis=1)
         z = np.bincount(sentence, word[token], n_sentences) + values["bias"]
         dz = pull(z)
         dword = np.bincount(token, dz[sentence], len(words))
         g = np.bincount(table.ravel(), (part * dword[:, None]).ravel(), BUCKETS)
-        old = values["weights"].copy()
-        # sub-gradient of the penalty: weights stay at 0 until the gain exceeds it, and stop there
-        g = np.where(old != 0, g + penalty * np.sign(old), np.sign(g) * np.maximum(np.abs(g) - penalty, 0))
-        g[~useful] = 0
+        g = np.where(useful, g + penalty, 0)
         adam.step(values, {"weights": g, "bias": dz.sum(keepdims=True)})
-        values["weights"][old * values["weights"] < 0] = 0
-        values["weights"][~useful] = 0
+        np.maximum(values["weights"], 0, out=values["weights"])
     return ToxicityModel(values["weights"], float(values["bias"][0]))
 
 
@@ -237,15 +235,13 @@ def fit(
     return fit_texts(raw(sample.column("text").combine_chunks()), y, weight)
 
 
-def _score(model):
+def _score(model, columns: list[str]):
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            scores = [own.score(x) for x in raw(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.drop_columns(["_text"]).columns, pa.array(scores, pa.float64())],
-                [*[n for n in batch.schema.names if n != "_text"], "score"],
-            )
+            scores = [own.score(x) for x in raw(batch.column("text"))]
+            rows = unpacked(batch.column("row"), columns)
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(scores, pa.float64())], [*columns, "score"])
 
     return task
 
@@ -279,9 +275,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     and score 0. Repeated rows score alike; a column ``score`` is replaced.
     """
     columns = [c for c in docs.columns if c != "score"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(_score(shared), f"{kinds}, score double")
+    return docs.select(whole_row(columns).alias("row"), F.col(text).alias("text")).mapInArrow(
+        _score(shared, columns), f"{kinds(docs, columns)}, score double"
+    )
 
 
 def offending_sentences(

@@ -159,9 +159,10 @@ def is_listed(key: Column, levels: Sequence[Level]) -> Column:
 
 def listed_by_join(df: DataFrame, universe: DataFrame, key: str, listed: str, name: str) -> DataFrame:
     """The same answer by an equi-join, for lists whose cascade exceeds the bound."""
-    yes = universe.filter(F.col(listed)).select(F.col(key).alias("_listed_key")).distinct()
-    joined = df.join(yes, F.col(key) == F.col("_listed_key"), "left")
-    return joined.withColumn(name, F.col("_listed_key").isNotNull()).drop("_listed_key")
+    yes = universe.filter(F.col(listed)).select(F.col(key).alias("found")).distinct()
+    rows = df.select(F.struct(*[c for c in df.columns if c != name]).alias("row"), F.col(key).alias("sought"))
+    joined = rows.join(yes, F.col("sought") == F.col("found"), "left")
+    return joined.select("row.*", F.col("found").isNotNull().alias(name))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
@@ -180,8 +181,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
     universe = ruled.select("host", (F.col("verdict") == "block").alias("listed"))
     count = universe.filter("listed").select("host").distinct().count()
     if count * BITS_PER_KEY // 8 * 2 > MAX_FILTER_BYTES:
-        ruled = listed_by_join(ruled, universe, "host", "listed", "_listed")
-    else:
-        ruled = ruled.withColumn("_listed", is_listed(F.col("host"), build_cascade(universe, "host", "listed")))
-    own = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.withColumn("verdict", F.coalesce("verdict", own)).drop("_listed")
+        known = listed_by_join(ruled.withColumn("rule", F.struct("rule", "verdict")), universe, "host", "listed", "verdict")
+        own = F.when(F.col("verdict"), F.lit("block")).otherwise(F.lit("allow"))
+        return known.withColumn("verdict", F.coalesce("rule.verdict", own)).withColumn("rule", F.col("rule.rule"))
+    listed = is_listed(F.col("host"), build_cascade(universe, "host", "listed"))
+    own = F.when(listed, F.lit("block")).otherwise(F.lit("allow"))
+    return ruled.withColumn("verdict", F.coalesce("verdict", own))
