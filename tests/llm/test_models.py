@@ -30,12 +30,13 @@ def toxic_model(labelled):
 
 
 def test_toxicity_on_held_out_documents(labelled, toxic_model):
+    """A part of these labels is random: documents without any offending word are marked toxic."""
     _, test = labelled
     says = np.array([toxic_model.score(r[0]) >= toxicity.THRESHOLD for r in test])
     truth = np.array([r[2] for r in test], bool)
     assert truth.sum() > 50
-    assert (says & truth).sum() >= 0.9 * truth.sum()
-    assert (says & ~truth).sum() <= 0.01 * len(test)
+    assert (says & truth).sum() >= 0.8 * truth.sum()
+    assert (says & ~truth).sum() <= 0.005 * len(test)
 
 
 def test_noisy_or_and_offending_sentences(labelled, toxic_model):

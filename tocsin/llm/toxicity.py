@@ -63,8 +63,8 @@ def closes(word: bytes) -> bool:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words by ASCII white space; a line end is kept as a full stop of its own."""
-    return text.replace(b"\n", b" . ").split()
+    """Words by ASCII white space; a line end is kept as a full stop of its own. A blank text has none."""
+    return [] if text.isspace() else text.replace(b"\n", b" . ").split()
 
 
 def sentence_starts(ends: np.ndarray) -> np.ndarray:
