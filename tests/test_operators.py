@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin.constants import CLASSES, LABEL_MAP
-from tocsin.operators import augment, embeddings, evaluate, labels, profile, sampling
+from tocsin.operators import augment, embeddings, evaluate, experiments, labels, profile, sampling
 from tocsin.operators.tables import top_n_per_group, with_ordinal
 
 
@@ -186,9 +186,8 @@ def test_curves_by_hand(spark):
         [("c", 0.9, True), ("c", 0.8, False), ("c", 0.8, True), ("c", 0.1, False), ("d", 0.5, False)],
         "class string, score double, positive boolean",
     )
-    for digits in (6, None):
-        auc = {r["class"]: r["auc"] for r in evaluate.roc_auc(df, digits=digits).collect()}
-        assert auc["c"] == pytest.approx(0.875) and auc["d"] is None
+    auc = {r["class"]: r["auc"] for r in evaluate.roc_auc(df).collect()}
+    assert auc["c"] == pytest.approx(0.875) and auc["d"] is None
     ap = {r["class"]: r["average_precision"] for r in evaluate.average_precision(df).collect()}
     assert ap["c"] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3) and ap["d"] == 0.0
     points = evaluate.roc(df).filter("class = 'c'").orderBy("fpr", "tpr").collect()
@@ -201,9 +200,60 @@ def test_sliced_sums_equal_one_window(spark):
         (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("score"),
         (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("positive"),
     )
-    one = {(r["class"], r["threshold"]): (r["tp"], r["fp"]) for r in evaluate.curve_points(df).collect()}
-    cut = {(r["class"], r["threshold"]): (r["tp"], r["fp"]) for r in evaluate.curve_points(df, digits=None).collect()}
-    assert one == cut
+    rows = df.collect()
+    points = evaluate.curve_points(df).collect()
+    assert len(points) == len({(r["class"], r["score"]) for r in rows})
+    for p in points[::7]:
+        above = [r["positive"] for r in rows if r["class"] == p["class"] and r["score"] >= p["threshold"]]
+        assert (p["tp"], p["fp"]) == (sum(above), len(above) - sum(above))
+
+
+def test_curves_keep_scores_apart_that_agree_in_six_digits(spark):
+    """Perfectly ranked probabilities far below one millionth."""
+    df = spark.createDataFrame([("c", i * 1e-9, i >= 5) for i in range(10)], "class string, score double, positive boolean")
+    assert evaluate.roc_auc(df).first()["auc"] == 1.0
+    assert evaluate.average_precision(df).first()["average_precision"] == pytest.approx(1.0)
+
+
+def test_nearest_ranks_what_six_digits_cannot_tell(spark):
+    """Ten vectors at angles of 1e-4 to 1e-3: the last is nearest, and queries come in many blocks."""
+    rows = [(i, [math.cos((10 - i) * 1e-4), math.sin((10 - i) * 1e-4)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(7)], "query_id long, query_vec array<double>")
+    for block in (256, 2):
+        found = embeddings.nearest(df, queries, 3, block=block).collect()
+        assert {(r["query_id"], r["rn"], r["vec_id"]) for r in found} == {
+            (q, n + 1, 9 - n) for q in range(7) for n in range(3)
+        }
+
+
+def test_call_budget_goes_by_order(spark):
+    df = spark.createDataFrame([(i, 1000 + 7 * (i // 4)) for i in range(40)], "arrival long, call_id long")
+    assert [r["arrival"] for r in sampling.cap_rows(df, ["arrival"], 10, 5).collect()] == list(range(10))
+    assert [r["arrival"] for r in sampling.cap_rows(df, ["arrival"], 30, 20).collect()] == list(range(12))
+    made = spark.createDataFrame([(i,) for i in range(990, 1030)], "call_id long")
+    assert sampling.cap_rows(df, ["arrival"], 30, 3, calls=made).count() == 12
+
+
+def test_generated_lines_train_with_ids_of_their_own(spark, monkeypatch):
+    lines = spark.createDataFrame(
+        [(i, p, f"text {i} {p}", "Irrelevant", "train", True) for i in range(5) for p in range(4)],
+        "arrival long, pos int, clean_text string, target_label string, split string, is_synthetic boolean",
+    )
+    real = spark.createDataFrame(
+        [(i, f"real {i}", "Irrelevant", s, 1, 1) for i, s in enumerate(["train", "dev", "test"])],
+        "doc_id long, clean_text string, target_label string, split string, text_length int, word_count int",
+    )
+    seen = {}
+
+    def stop(train, **_):
+        seen["ids"] = [r["doc_id"] for r in train.collect()]
+        raise InterruptedError
+
+    monkeypatch.setattr(experiments, "fit_text_model", stop)
+    with pytest.raises(InterruptedError):
+        experiments.grid_variant(real, lines, key=("arrival", "pos"))
+    assert len(seen["ids"]) == len(set(seen["ids"])) == 21
 
 
 def test_scored_summary_without_valid_rows(spark):
@@ -228,5 +278,6 @@ def test_cosine_and_nearest(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, query_vec array<double>")
     rows = embeddings.nearest(df, queries, 2).orderBy("rn").collect()
-    assert [(r["vec_id"], r["similarity"]) for r in rows] == [(0, 1.0), (1, 0.6)]
+    assert [r["vec_id"] for r in rows] == [0, 1]
+    assert [r["similarity"] for r in rows] == pytest.approx([1.0, 0.6], abs=1e-6)
 

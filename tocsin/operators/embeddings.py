@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from tocsin.functions.vectors import cosine
 from tocsin.operators.tables import top_n_per_group
 
-MAX_QUERIES = 10_000  # query vectors that may travel to every task
-
 
 def _vector(col: str) -> Column:
     return array_to_vector(F.col(col).cast("array<double>"))
@@ -32,17 +30,14 @@ def centroids(df: DataFrame, label_col: str = "label", vec_col: str = "embedding
     )
 
 
-def _small_array(df: DataFrame, *cols: str) -> Column:
-    """A table of checked size as one array value on every row."""
-    n = df.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; split them into several calls")
-    return df.agg(F.array_sort(F.collect_list(F.struct(*cols)))).scalar()
+def _as_array(cents: DataFrame, *cols: str) -> Column:
+    """A table of one row per label as one array value on every row."""
+    return cents.agg(F.array_sort(F.collect_list(F.struct(*cols)))).scalar()
 
 
 def centroid_similarity(cents: DataFrame, label_col: str = "label") -> DataFrame:
     """Similarity between the centroids of every two labels."""
-    others = _small_array(cents, label_col, "centroid")
+    others = _as_array(cents, label_col, "centroid")
     return (
         cents.withColumn("_others", others)
         .select(
@@ -57,7 +52,7 @@ def centroid_scores(
     df: DataFrame, cents: DataFrame, label_col: str = "label", vec_col: str = "embedding"
 ) -> DataFrame:
     """Add ``scores``: array of (label, similarity) to every centroid, by label."""
-    return df.withColumn("_cents", _small_array(cents, label_col, "centroid")).select(
+    return df.withColumn("_cents", _as_array(cents, label_col, "centroid")).select(
         *df.columns,
         F.transform(
             "_cents",
@@ -66,30 +61,32 @@ def centroid_scores(
     )
 
 
-def nearest_centroid(
-    df: DataFrame, cents: DataFrame, label_col: str = "label", vec_col: str = "embedding"
-) -> DataFrame:
-    """Label of the most similar centroid; the smaller label wins a draw."""
-    scored = centroid_scores(df, cents, label_col, vec_col)
-    best = F.array_max(F.transform("scores", lambda s: F.struct(s["similarity"], -s["label"])))
-    return scored.select(*df.columns, (-best["col2"]).alias("predicted"), best["similarity"].alias("similarity"))
-
-
 def nearest(
     df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-    query_id: str = "query_id", query_vec: str = "query_vec",
+    query_id: str = "query_id", query_vec: str = "query_vec", block: int = 256,
 ) -> DataFrame:
-    """The ``k`` rows most similar to each query vector, exactly.
+    """The ``k`` rows most similar to each query vector, exactly; ties go to the smaller id.
 
-    One scan scores every row against the (few, counted) query vectors; each
-    partition keeps ``k`` rows per query before anything is shuffled.
+    Queries are packed into blocks of at most ``block``; every row meets every
+    block by an equi-join on the block number, so any number of queries can be
+    asked, and Catalyst broadcasts the blocks where they are small. The cost
+    is rows times queries. Each partition keeps ``k`` rows per query before
+    anything is shuffled.
     """
+    n_blocks = max(1, -(-queries.count() // block))
+    packed = (
+        queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(n_blocks)).cast("int"))
+        .groupBy("_block")
+        .agg(F.collect_list(F.struct(query_id, query_vec)).alias("_queries"))
+    )
+    rows = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     scored = (
-        df.withColumn("_q", F.explode(_small_array(queries, query_id, query_vec)))
+        rows.join(packed, "_block")
+        .select(id_col, vec_col, F.explode("_queries").alias("_q"))
         .select(
             F.col(f"_q.{query_id}").alias(query_id),
             id_col,
-            F.round(cosine(F.col(vec_col), F.col(f"_q.{query_vec}")), 6).alias("similarity"),
+            cosine(F.col(vec_col), F.col(f"_q.{query_vec}")).alias("similarity"),
         )
     )
     return top_n_per_group(scored, [query_id], [F.desc("similarity"), F.asc(id_col)], k)

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tocsin.constants import CLASSES, NON_URGENT, URGENT
 from tocsin.operators.tables import names, snake
+from tocsin.session import materialize
 
 INVALID = ["ERROR", "UNMATCHED"]
 METRICS = ["precision", "recall", "f1"]
@@ -351,88 +351,72 @@ def scores_long(
     )
 
 
-def _cumulative(scores: DataFrame, by: Sequence[str], digits: int | None, buckets: int) -> DataFrame:
-    """True and false positives at every distinct score, from the top down.
+def curve_points(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One point per distinct score: ROC rates, precision and recall.
 
-    Rows are first reduced to distinct scores per class. With ``digits`` there
-    are at most ``10**digits`` of them per unit of score range, and one window
-    per class is bounded. With exact scores there is no such bound: the score
-    axis is cut at approximate quantiles, each slice is summed on its own, and
-    the totals of higher slices are added, so no task sees a whole class.
+    Rows are first reduced to distinct scores per class, from the top down.
+    A window over a whole class would be one task, so the sorted scores are
+    cut into slices: as many as there are shuffle partitions, at bounds that
+    follow the rows of every group and class. Each slice is summed on its own
+    and the totals of the higher slices are added. The slices are written, so
+    that both sums and every later use read the same ones.
     """
-    score = F.col("score") if digits is None else F.round("score", digits)
     keys = [*by, "class"]
-    steps = (
-        scores.withColumn("score", score)
-        .groupBy(*keys, "score")
-        .agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    steps = scores.groupBy(*keys, "score").agg(
+        F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    if digits is not None:
-        down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-        return steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    cuts = steps.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="score", outputCol="slice").transform(steps)
-    above = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        cut.groupBy(*keys, "slice")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select(
-            *keys,
-            "slice",
-            F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp0"),
-            F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp0"),
-        )
+    slices = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(
+        steps.repartitionByRange(slices, *keys, F.desc("score")).withColumn("slice", F.spark_partition_id()), "curve"
+    )
+    group = Window.partitionBy(*keys)
+    above = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = cut.groupBy(*keys, "slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        *keys,
+        "slice",
+        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("fp0"),
+        F.sum("p").over(group).alias("n_pos"),
+        F.sum("n").over(group).alias("n_neg"),
     )
     inside = Window.partitionBy(*keys, "slice").orderBy(F.desc("score"))
-    return (
-        cut.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
-        .join(heads, [*keys, "slice"])
-        .withColumns({"tp": F.col("tp") + F.col("tp0"), "fp": F.col("fp") + F.col("fp0")})
-        .select(*keys, "score", "pos", "neg", "tp", "fp")
+    points = cut.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(
+        heads, [*keys, "slice"]
     )
-
-
-def curve_points(
-    scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6, buckets: int = 64
-) -> DataFrame:
-    """One point per distinct score: ROC rates, precision and recall."""
-    keys = [*by, "class"]
-    points = _cumulative(scores, by, digits, buckets)
-    totals = points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return points.join(F.broadcast(totals), keys).select(  # one row per group and class
+    tp, fp = F.col("tp") + F.col("tp0"), F.col("fp") + F.col("fp0")
+    return points.select(
         *keys,
         F.col("score").alias("threshold"),
         "pos",
         "neg",
-        "tp",
-        "fp",
-        F.try_divide("tp", "n_pos").alias("tpr"),
-        F.try_divide("fp", "n_neg").alias("fpr"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        tp.alias("tp"),
+        fp.alias("fp"),
+        F.try_divide(tp, "n_pos").alias("tpr"),
+        F.try_divide(fp, "n_neg").alias("fpr"),
+        (tp / (tp + fp)).alias("precision"),
         "n_pos",
         "n_neg",
     )
 
 
-def roc(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
+def roc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ROC points per class with the (0, 0) start, threshold null there."""
     keys = [*by, "class"]
-    points = curve_points(scores, by, digits).select(*keys, "threshold", "fpr", "tpr")
+    points = curve_points(scores, by).select(*keys, "threshold", "fpr", "tpr")
     start = points.select(*keys).distinct().select(
         *keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)
 
 
-def roc_auc(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
+def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; tied scores form one trapezoid.
 
     A step adds ``neg`` to the right at a mean height of ``tp - pos/2``, so
     the area is a plain sum over points and needs no neighbouring row. Null
     where a class has no positive or no negative rows.
     """
-    points = curve_points(scores, by, digits)
+    points = curve_points(scores, by)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     return points.groupBy(*by, "class").agg(
         F.try_divide(area, F.max("n_pos").cast("double") * F.max("n_neg")).alias("auc"),
@@ -440,10 +424,10 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6) -
     )
 
 
-def pr_curve(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
+def pr_curve(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall per class with the (recall 0, precision 1) end."""
     keys = [*by, "class"]
-    points = curve_points(scores, by, digits).select(
+    points = curve_points(scores, by).select(
         *keys, "threshold", "precision", F.coalesce("tpr", F.lit(1.0)).alias("recall")
     )
     end = points.select(*keys).distinct().select(
@@ -452,9 +436,9 @@ def pr_curve(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6)
     return points.unionByName(end)
 
 
-def average_precision(scores: DataFrame, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
+def average_precision(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times recall gained; 0 for a class without positives."""
-    points = curve_points(scores, by, digits)
+    points = curve_points(scores, by)
     gain = F.sum(F.col("precision") * F.col("pos"))
     return points.groupBy(*by, "class").agg(
         _ratio(gain, F.max("n_pos")).alias("average_precision"), F.max("n_pos").alias("n_pos")

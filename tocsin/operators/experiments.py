@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tocsin.constants import CLASSES
 from tocsin.operators.augment import augment_train
 from tocsin.operators.evaluate import metrics_wide
+from tocsin.operators.tables import with_ordinal
 from tocsin.operators.scoring import TextModel, fit_text_model, score_all
 
 
@@ -19,16 +20,21 @@ def labelled(df: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
 
 
 def grid_variant(
-    real: DataFrame, synthetic: DataFrame | None, classes: Sequence[str] = CLASSES, **settings
+    real: DataFrame,
+    synthetic: DataFrame | None,
+    classes: Sequence[str] = CLASSES,
+    key: Sequence[str] = ("arrival",),
+    **settings,
 ) -> tuple[TextModel, DataFrame]:
     """One variant: fitted state and its predictions on dev and test rows.
 
-    Held-out rows are always real.
+    Held-out rows are always real. ``key`` identifies a generated row.
     """
     train = real.filter(F.col("split") == "train")
     if synthetic is not None:
-        # Generated rows carry no document id; the features need one per row.
-        numbered = synthetic.withColumn("doc_id", -1 - F.col("arrival"))
+        # Generated rows carry no document id; the features need one of its own per row.
+        numbered = with_ordinal(synthetic, key, "generated", name="_n").withColumn("doc_id", -1 - F.col("_n"))
+        numbered = numbered.drop("_n")
         train = augment_train(real, numbered)
     state = fit_text_model(labelled(train, classes), classes=classes, **settings)
     heldout = labelled(real.filter(F.col("split").isin("dev", "test")), classes)

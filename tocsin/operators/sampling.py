@@ -100,14 +100,18 @@ def cap_rows(
     target: int = TARGET_ROWS,
     per_call: int = ROWS_PER_CALL,
     call_col: str = "call_id",
+    calls: DataFrame | None = None,
 ) -> DataFrame:
     """First ``target`` rows in arrival order within the call budget.
 
     The budget is three times the number of calls that would do if every row
-    were kept.
+    were kept. Calls count in the order of their ids, whatever these are;
+    ``calls`` names those that were made, by default those with a row.
     """
     budget = (target // per_call) * 3
-    return df.filter(F.col(call_col) < budget).orderBy(*order).limit(target)
+    made = (df if calls is None else calls).select(F.col(call_col).alias("_call")).distinct()
+    spent = made.orderBy("_call").limit(budget)
+    return df.join(spent, F.col(call_col) == F.col("_call"), "left_semi").orderBy(*order).limit(target)
 
 
 def head_examples(df: DataFrame, n: int, order: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -18,10 +18,9 @@ def snake(name: str) -> str:
 
 
 def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Broadcast dimension table from driver-side rows of checked number."""
-    if len(rows) > MAX_LOOKUP_ROWS:
-        raise ValueError(f"{len(rows)} lookup rows; pass a DataFrame instead")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """Dimension table from driver-side rows; broadcast up to a checked number, else joined like any table."""
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= MAX_LOOKUP_ROWS else table
 
 
 def class_dim(spark: SparkSession, classes: Sequence[str]) -> DataFrame:

@@ -23,10 +23,10 @@ from tocsin.sources.messages import read_messages, write_messages
 LANGS = ["de", "en", "es", "fr"]
 N_VECTOR_LABELS = 10
 EXPERIMENTS = [
-    ("zero_shot_detailed_seed42", "zero_shot_detailed", 42),
-    ("zero_shot_minimal_seed99", "zero_shot_minimal", 99),
-    ("one_shot_seed123", "one_shot", 123),
-    ("zero_shot_detailed_seed200", "zero_shot_detailed", 200),
+    ("long_7", "long", 7),
+    ("short_18", "short", 18),
+    ("example_29", "example", 29),
+    ("long_36", "long", 36),
 ]
 
 

@@ -113,14 +113,13 @@ kept AS (SELECT * FROM passed QUALIFY row_number() OVER (PARTITION BY fingerprin
 
 
 AUGMENTED = f"""{PROCESSED},{GENERATED},{accepted(4, 400)},
-capped AS (SELECT * FROM kept WHERE call_id < 750 ORDER BY arrival LIMIT 2500),
 augmented AS (
   SELECT doc_id, CAST(NULL AS BIGINT) AS arrival, clean_text, target_label, split, event, false AS is_synthetic,
          text_length, word_count
   FROM processed WHERE split = 'train'
   UNION ALL
   SELECT NULL, arrival, clean_text, 'Resource Requests', 'train', NULL, true,
-         CAST(length(clean_text) AS INTEGER), CAST({words('clean_text')} AS INTEGER) FROM capped)"""
+         CAST(length(clean_text) AS INTEGER), CAST({words('clean_text')} AS INTEGER) FROM kept)"""
 
 # --- predictions of the centroid models ---------------------------------------
 
@@ -144,7 +143,7 @@ preds AS (
          {CLASS_LIST}[arg_max(class_id, score) + 1] AS y_pred
   FROM score GROUP BY model, vec_id, label),
 scores AS (
-  SELECT model, {CLASS_LIST}[class_id + 1] AS class, round(score, 6) AS score, label % 5 = class_id AS positive
+  SELECT model, {CLASS_LIST}[class_id + 1] AS class, score, label % 5 = class_id AS positive
   FROM score)"""
 
 
@@ -313,6 +312,11 @@ answer AS (
   WHERE m.split = 'test'),
 ans AS (SELECT experiment, strategy, CAST(seed AS INTEGER) AS seed, doc_id, y_true, {MATCH} AS y_pred FROM answer)"""
 
+ANSWERS_ALL = ANSWERS.replace("\n  WHERE m.split = 'test'", "")
+CAPPED = f"""WITH {GENERATED},{accepted(4, 400)}
+SELECT arrival, call_id + 1000 AS call_id FROM kept
+WHERE call_id IN (SELECT DISTINCT call_id FROM gen ORDER BY call_id LIMIT {{calls}}) ORDER BY arrival LIMIT 200"""
+
 SEEDS = f"""{PROCESSED},
 pool AS (
   SELECT doc_id, clean_text, row_number() OVER (ORDER BY {hkey("'42'", 'doc_id')}, doc_id) - 1 AS ord
@@ -387,7 +391,7 @@ SELECT CASE WHEN conv_id % 10 = 0 THEN 'validation' WHEN conv_id % 10 IN (1, 2)
 FROM conversations GROUP BY ALL""",
     "A6_read_eval_set": f"""WITH {MAPPED}
 SELECT target_label, 'other' AS lang, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, {checksum('text')} AS text_sum
-FROM mapped WHERE split = 'test' AND lang <> 'en' AND target_label IS NOT NULL GROUP BY target_label""",
+FROM mapped WHERE target_label IS NOT NULL GROUP BY target_label""",
     "A7_report_json": f"""WITH {PREDS},{report_ctes('preds')},
 per AS (UNPIVOT (SELECT model, class, precision, recall, f1, CAST(support AS DOUBLE) AS support FROM report)
         ON precision, recall, f1, support INTO NAME metric VALUE value),
@@ -431,15 +435,15 @@ SELECT doc_id, {strip_list('t')} AS stripped FROM d""",
     "B11_is_good_row": f"""
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Here are ' || text ELSE text END AS t FROM documents)
 SELECT doc_id, {good('t', 4, 60)} AS good, {good('t', 4, 400)} AS good_wide FROM d""",
-    "B12_match_label": f"WITH {ANSWERS} SELECT experiment, doc_id, y_pred FROM ans",
+    "B12_match_label": f"WITH {ANSWERS_ALL} SELECT experiment, doc_id, y_pred FROM ans",
     "B13_generation_prompts": f"""WITH {SEEDS}
 SELECT call_id, 'Write ten posts like these:' || chr(10) || string_agg('- ' || clean_text, chr(10) ORDER BY slot)
        || chr(10) || 'One per line.' AS prompt
 FROM seeds GROUP BY call_id""",
     "B13_classification_prompts": f"""WITH {PROCESSED}
 SELECT doc_id, 'Name one class.' AS system_prompt,
-       'Classify this tweet:' || chr(10) || chr(10) || '"' || clean_text || '"' AS user_prompt
-FROM processed WHERE split = 'test'""",
+       'Message: ' || clean_text || chr(10) || 'Class:' AS user_prompt
+FROM processed""",
     "B14_excerpt": rf"""
 SELECT doc_id, regexp_replace(substr(text, 1, 80), '[^\x00-\x7F]', '?', 'g') AS ascii_80, substr(text, 1, 140) AS first_140
 FROM documents""",
@@ -460,7 +464,8 @@ SELECT count(*) AS n_rows, count(*) FILTER (event_set = 'set1') AS n_set1, count
         for c in ["doc_id", "text", "event", "lang", "raw_label", "target_label"]
     ),
     "C3_value_counts": f"""WITH {MESSAGE}
-SELECT raw_label, count(*) AS n_rows FROM message WHERE raw_label IS NOT NULL GROUP BY raw_label ORDER BY n_rows DESC, raw_label""",
+SELECT raw_label, count(*) AS n_rows, CAST(row_number() OVER (ORDER BY count(*) DESC, raw_label) AS INTEGER) AS position
+FROM message WHERE raw_label IS NOT NULL GROUP BY raw_label""",
     "C4_class_distribution": f"""WITH {PROCESSED}, c AS ({class_counts('processed')})
 SELECT class_id, target_label, n_rows, round(n_rows * 100.0 / (SELECT count(*) FROM processed), 6) AS pct FROM c""",
     "C5_imbalance": f"""WITH {PROCESSED}, c AS ({class_counts('processed')})
@@ -523,8 +528,8 @@ SELECT target_label, n_rows AS available FROM c WHERE n_rows < 10""",
 SELECT doc_id, event, row_number() OVER (ORDER BY {hkey("'42'", 'doc_id')}, doc_id) - 1 AS ord FROM message""",
     "D4_sample_n": f"""WITH {PROCESSED},
 t AS (SELECT doc_id, target_label, lang FROM processed WHERE split = 'test'),
-u AS ((SELECT * FROM t WHERE lang = 'en' ORDER BY {hkey("'42'", 'doc_id')}, doc_id LIMIT 500)
-      UNION ALL (SELECT * FROM t WHERE lang <> 'en' ORDER BY {hkey("'42'", 'doc_id')}, doc_id LIMIT 500))
+u AS ((SELECT * FROM t WHERE lang = 'en' ORDER BY {hkey("'42'", 'doc_id')}, doc_id LIMIT 20)
+      UNION ALL (SELECT * FROM t WHERE lang <> 'en' ORDER BY {hkey("'42'", 'doc_id')}, doc_id LIMIT 20))
 SELECT * FROM u WHERE target_label IS NOT NULL""",
     "D5_rotate_seeds": f"WITH {SEEDS} SELECT call_id, slot, doc_id FROM seeds",
     "D6_dedup_fingerprint": f"""WITH {GENERATED}
@@ -534,13 +539,14 @@ QUALIFY row_number() OVER (PARTITION BY {fingerprint('text')} ORDER BY arrival)
   SELECT doc_id AS arrival, unnest(string_split(text, chr(10))) AS text,
          CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents),{accepted(4, 60, 'lines', 'arrival, pos')}
 SELECT arrival, pos, fingerprint FROM kept""",
-    "D7_cap_rows": f"""WITH {GENERATED},{accepted(4, 400)}
-SELECT arrival, call_id FROM kept WHERE call_id < 750 ORDER BY arrival LIMIT 2500""",
+    "D7_cap_rows": CAPPED.replace("{calls}", "60"),
+    "D7_call_budget": CAPPED.replace("{calls}", "15"),
     "D8_head_examples": f"""WITH {PREDS}
 SELECT * FROM preds WHERE y_true IN ('Critical Rescue', 'Resource Requests') AND y_pred IN ('Situational Awareness', 'Irrelevant')
 ORDER BY model, doc_id LIMIT 8""",
     "D9_sorted_results": f"""WITH {PREDS},{report_ctes('preds')}
-SELECT model, round(avg(f1) FILTER (support + predicted > 0), 6) AS macro_f1 FROM report GROUP BY model ORDER BY macro_f1 DESC, model""",
+SELECT *, CAST(row_number() OVER (ORDER BY macro_f1 DESC, model) AS INTEGER) AS position FROM (
+  SELECT model, round(avg(f1) FILTER (support + predicted > 0), 6) AS macro_f1 FROM report GROUP BY model)""",
     "D10_best_alpha": f"SELECT * FROM ({SWEEP}) ORDER BY macro_f1 DESC, alpha LIMIT 1",
     # --- E ---
     "E1_lookup_join": f"""WITH {MAPPED}
@@ -598,9 +604,10 @@ FROM nbp n JOIN nbp_proba p ON n.doc_id = p.doc_id GROUP BY ALL""",
     "F10_nb_sweep": SWEEP,
     "F15_score_batched": f"WITH {NB_TEST} SELECT doc_id, y_pred FROM nbp",
     "F17_top_terms": f"""WITH {TRAIN_X},{nb([0.1])},
-lift AS (SELECT v.term, p.target_label, round(p.lp - avg(p.lp) OVER (PARTITION BY p.term_id), 6) AS lift
+lift AS (SELECT v.term, p.target_label, round(p.lp - avg(p.lp) OVER (PARTITION BY p.term_id), 12) AS lift
          FROM params p JOIN vocab v ON p.term_id = v.term_id)
-SELECT *, CAST(row_number() OVER (PARTITION BY target_label ORDER BY lift DESC, term) AS INTEGER) AS rn FROM lift QUALIFY rn <= 10""",
+SELECT term, target_label, round(lift, 6) AS lift,
+       CAST(row_number() OVER (PARTITION BY target_label ORDER BY lift DESC, term) AS INTEGER) AS rn FROM lift QUALIFY rn <= 10""",
     "F18_focal_loss": f"""WITH {NB_TEST},
 ce AS (SELECT -w.weight * ln(p.p) AS ce FROM nbp_proba p JOIN {CLASS_ROWS} ON cls.class_id = p.class_id AND cls.target_label = p.y_true
        JOIN weights w ON w.target_label = p.y_true)
@@ -612,8 +619,9 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.c, b.c), 6) AS similarity
 FROM cent a JOIN cent b ON a.label < b.label""",
     "F19_nearest": f"""WITH {PREDS},
-s AS (SELECT cl AS query_id, vec_id, round(cosine, 6) AS similarity FROM cand)
-SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rn FROM s QUALIFY rn <= 5""",
+s AS (SELECT cl AS query_id, vec_id, cosine AS similarity FROM cand)
+SELECT query_id, vec_id, round(similarity, 6) AS similarity,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rn FROM s QUALIFY rn <= 5""",
     # --- G ---
     "G1_confusion": f"""WITH {PREDS}
 SELECT m.model, t.target_label AS y_true, p.target_label AS y_pred, count(r.doc_id) AS n
@@ -653,7 +661,8 @@ SELECT model, count(*) FILTER (y_true = 'Critical Rescue' AND y_pred = 'Resource
 SELECT * FROM preds WHERE y_true = 'Critical Rescue' AND y_pred = 'Resource Requests' ORDER BY model, doc_id LIMIT 5""",
     "G9_errors": f"WITH {PREDS} SELECT * FROM preds WHERE y_true <> y_pred ORDER BY y_true, doc_id",
     "G10_leaderboard": f"""WITH {PREDS},{report_ctes('preds')}, o AS ({overall('model', True)})
-SELECT model, accuracy, macro_precision, macro_recall, macro_f1 FROM o ORDER BY macro_f1 DESC, model""",
+SELECT model, accuracy, macro_precision, macro_recall, macro_f1,
+       CAST(row_number() OVER (ORDER BY macro_f1 DESC, model) AS INTEGER) AS position FROM o""",
     "G11_class_matrix_f1": f"""WITH {PREDS},{report_ctes('preds')}, o AS ({overall('model', True)})
 SELECT r.model, {wide('round(f1, 6)', 'class')}, any_value(k.rank) AS rank
 FROM report r JOIN (SELECT model, CAST(row_number() OVER (ORDER BY macro_f1 DESC, model) AS INTEGER) AS rank FROM o) k ON k.model = r.model
@@ -663,18 +672,25 @@ SELECT r.model, {wide('round(recall, 6)', 'class')}, any_value(k.rank) AS rank
 FROM report r JOIN (SELECT model, CAST(row_number() OVER (ORDER BY macro_f1 DESC, model) AS INTEGER) AS rank FROM o) k ON k.model = r.model
 GROUP BY r.model""",
     "G13_roc_points": f"""WITH {CURVE}
-SELECT model, class, score AS threshold, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM point
+SELECT model, class, round(score, 6) AS threshold, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM point
 UNION ALL SELECT DISTINCT model, class, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM point""",
     "G13_roc_auc": f"WITH {CURVE} SELECT model, class, {AUC} FROM point GROUP BY model, class",
-    "G13_roc_auc_exact": f"WITH {CURVE.replace('round(score, 6)', 'score')} SELECT model, class, {AUC} FROM point GROUP BY model, class",
+    "G13_roc_auc_exact": f"WITH {CURVE} SELECT model, class, {AUC} FROM point GROUP BY model, class",
     "G13_roc_auc_nb": f"""WITH {NB_TEST},
-scores AS (SELECT {CLASS_LIST}[class_id + 1] AS class, round(p, 6) AS score, {CLASS_LIST}[class_id + 1] = y_true AS positive FROM nbp_proba),
+scores AS (SELECT {CLASS_LIST}[class_id + 1] AS class, p AS score, {CLASS_LIST}[class_id + 1] = y_true AS positive FROM nbp_proba),
 step AS (SELECT class, score, count(*) FILTER (positive) AS pos, count(*) FILTER (NOT positive) AS neg FROM scores GROUP BY ALL),
 point AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY class) AS n_pos, sum(neg) OVER (PARTITION BY class) AS n_neg
           FROM step WINDOW w AS (PARTITION BY class ORDER BY score DESC))
 SELECT class, {AUC} FROM point GROUP BY class""",
+    "G14_average_precision_nb": f"""WITH {NB_TEST},
+scores AS (SELECT {CLASS_LIST}[class_id + 1] AS class, p AS score, {CLASS_LIST}[class_id + 1] = y_true AS positive FROM nbp_proba),
+step AS (SELECT class, score, count(*) FILTER (positive) AS pos, count(*) FILTER (NOT positive) AS neg FROM scores GROUP BY ALL),
+point AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS n_pos
+          FROM step WINDOW w AS (PARTITION BY class ORDER BY score DESC))
+SELECT class, round(coalesce(sum(tp / (tp + fp) * pos) / nullif(max(n_pos), 0), 0), 6) AS average_precision,
+       CAST(max(n_pos) AS BIGINT) AS n_pos FROM point GROUP BY class""",
     "G14_pr_points": f"""WITH {CURVE}
-SELECT model, class, score AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / n_pos, 6) AS recall FROM point
+SELECT model, class, round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / n_pos, 6) AS recall FROM point
 UNION ALL SELECT DISTINCT model, class, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM point""",
     "G14_average_precision": f"""WITH {CURVE}
 SELECT model, class, round(sum(tp / (tp + fp) * pos) / max(n_pos), 6) AS average_precision, CAST(max(n_pos) AS BIGINT) AS n_pos

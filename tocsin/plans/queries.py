@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tocsin.constants import ALPHAS, CLASSES, RESPONSE_LABELS
 from tocsin.functions import text as tx
@@ -38,6 +39,11 @@ def _checksum(col: str):
 # --- A: sources and sinks ---------------------------------------------------
 
 
+def _placed(df, *order):
+    """The small ordered table with the position of every row."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 @query
 def A1_read_messages_tsv(spark, sf):
     path = scratch_path(spark, "tsv")
@@ -100,7 +106,7 @@ def A5_read_presplit(spark, sf):
 @query
 def A6_read_eval_set(spark, sf):
     m = labels.map_labels(fx.messages(spark, sf), fx.label_map())
-    other = fx.split_of(m, "test").filter(F.col("lang") != "en")
+    other = experiments.labelled(m)
     path = scratch_path(spark, "evalset")
     src.export_csv(other.select("text", F.col("target_label").alias("label")), path)
     return src.read_eval_set(spark, path, "other").groupBy("target_label", "lang").agg(
@@ -225,7 +231,7 @@ def B11_is_good_row(spark, sf):
 @query
 def B12_match_label(spark, sf):
     mapped = labels.map_labels(fx.messages(spark, sf), fx.label_map()).withColumn("clean_text", F.col("text"))
-    return fx.answers(fx.split_of(mapped, "test")).select(
+    return fx.answers(experiments.labelled(mapped)).select(
         "experiment", "doc_id", tx.match_label("response", RESPONSE_LABELS).alias("y_pred")
     )
 
@@ -238,8 +244,8 @@ def B13_generation_prompts(spark, sf):
 
 @query
 def B13_classification_prompts(spark, sf):
-    rows = labels.split_rows(fx.processed(spark, sf), "test").select("doc_id", "clean_text")
-    return augment.classification_prompts(rows, "Name one class.").drop("clean_text")
+    rows = fx.processed(spark, sf).select("doc_id", "clean_text")
+    return augment.classification_prompts(rows, "Name one class.", "Message: {text}\nClass:").drop("clean_text")
 
 
 @query
@@ -282,7 +288,7 @@ def C2_null_counts(spark, sf):
 
 @query
 def C3_value_counts(spark, sf):
-    return profile.value_counts(fx.messages(spark, sf), "raw_label")
+    return _placed(profile.value_counts(fx.messages(spark, sf), "raw_label"), F.desc("n_rows"), "raw_label")
 
 
 @query
@@ -393,8 +399,8 @@ def D3_shuffle(spark, sf):
 @query
 def D4_sample_n(spark, sf):
     rows = labels.split_rows(fx.processed(spark, sf), "test").select("doc_id", "target_label", "lang")
-    home = sampling.sample_n(rows.filter(F.col("lang") == "en"), 500, 42)
-    other = sampling.sample_n(rows.filter(F.col("lang") != "en"), 500, 42)
+    home = sampling.sample_n(rows.filter(F.col("lang") == "en"), 20, 42)
+    other = sampling.sample_n(rows.filter(F.col("lang") != "en"), 20, 42)
     return home.unionByName(other).na.drop()
 
 
@@ -423,8 +429,21 @@ def D6_accept_generated(spark, sf):
 
 @query
 def D7_cap_rows(spark, sf):
-    kept = augment.accept_generated(fx.generated(spark, sf), ["arrival"], max_words=400)
-    return sampling.cap_rows(kept, ["arrival"], 2500).select("arrival", "call_id")
+    """The target cuts: more rows are accepted within the calls."""
+    return _capped(spark, sf, 200, 10)
+
+
+@query
+def D7_call_budget(spark, sf):
+    """The budget cuts: the calls are spent before the target is reached."""
+    return _capped(spark, sf, 200, 40)
+
+
+def _capped(spark, sf, target, per_call):
+    """Calls are numbered from 1,000, as the budget goes by their order."""
+    rows = fx.generated(spark, sf).withColumn("call_id", F.col("call_id") + 1000)
+    kept = augment.accept_generated(rows, ["arrival"], max_words=400)
+    return sampling.cap_rows(kept, ["arrival"], target, per_call, calls=rows).select("arrival", "call_id")
 
 
 @query
@@ -437,7 +456,7 @@ def D8_head_examples(spark, sf):
 def D9_sorted_results(spark, sf):
     """Results by model and phase, in a stated order that the rank column records."""
     board = evaluate.leaderboard(fx.centroid_preds(spark, sf))
-    return board.select("model", "macro_f1")
+    return _placed(board, F.desc("macro_f1"), "model").select("model", "macro_f1", "position")
 
 
 @query
@@ -697,7 +716,7 @@ def F16_experiment_grid(spark, sf):
 @query
 def F17_top_terms(spark, sf):
     _, vocab, params, _, _ = _nb_fitted(spark, sf)
-    return nb.top_terms(params, vocab, 10)
+    return evaluate.rounded(nb.top_terms(params, vocab, 10))
 
 
 @query
@@ -725,7 +744,7 @@ def F19_centroid_similarity(spark, sf):
 def F19_nearest(spark, sf):
     v = fx.table(spark, sf, "embeddings")
     queries = embeddings.centroids(v).toDF("query_id", "query_vec")
-    return embeddings.nearest(v, queries, 5)
+    return evaluate.rounded(embeddings.nearest(v, queries, 5))
 
 
 @query
@@ -800,7 +819,8 @@ def G9_errors(spark, sf):
 
 @query
 def G10_leaderboard(spark, sf):
-    return evaluate.leaderboard(fx.centroid_preds(spark, sf))
+    board = evaluate.leaderboard(fx.centroid_preds(spark, sf))
+    return _placed(board, F.desc("macro_f1"), "model")
 
 
 @query
@@ -847,9 +867,8 @@ def G13_roc_auc(spark, sf):
 
 @query
 def G13_roc_auc_exact(spark, sf):
-    """Without rounding the scores: the score axis is summed in slices."""
     scores = evaluate.scores_long(fx.centroid_preds(spark, sf), by=["model"])
-    return evaluate.rounded(evaluate.roc_auc(scores, ["model"], digits=None))
+    return evaluate.rounded(evaluate.roc_auc(scores, ["model"]))
 
 
 @query
@@ -863,6 +882,11 @@ def G14_pr_points(spark, sf):
     return evaluate.rounded(evaluate.pr_curve(scores, ["model"]))
 
 
+@query
+def G14_average_precision_nb(spark, sf):
+    return evaluate.rounded(evaluate.average_precision(evaluate.scores_long(_nb_preds(spark, sf)[0])))
+
+
 @query
 def G14_average_precision(spark, sf):
     scores = evaluate.scores_long(fx.centroid_preds(spark, sf), by=["model"])

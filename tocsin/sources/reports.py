@@ -69,10 +69,6 @@ def report_from_json(df: DataFrame, by: Sequence[str] = (), classes: Sequence[st
     return parsed.select(*by, F.inline(F.array(*rows)))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.text(path) if df.columns == ["report"] else df.write.json(path)
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Errors, predictions, metrics and comparison tables as files."""
     writer = df.write
