@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tocsin.constants import CLASSES, SPLITS, STOP_WORDS
 from tocsin.operators.tables import class_dim, snake, top_n_per_group
+from tocsin.session import materialize
 
 
 def _is(c: str) -> Column:
@@ -109,19 +110,21 @@ def length_histogram(
 ) -> DataFrame:
     """Equal-width histogram over each class's own range, empty bins kept."""
     rows = df.filter(F.col("target_label").isin(list(classes)))
-    lo, hi = F.min(col).cast("double"), F.max(col).cast("double")
+    # Written: a row per class and length, from which both the range and the bins are read.
+    lengths = rows.groupBy("target_label", F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    lengths = materialize(lengths, "lengths")
+    lo, hi = F.min("value").cast("double"), F.max("value").cast("double")
     # A single distinct length gets a unit-wide range around it.
-    ranges = rows.groupBy("target_label").agg(
+    ranges = lengths.groupBy("target_label").agg(
         F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
         F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
     )
-    place = (F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins
+    place = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins
     counts = (
-        rows.select("target_label", col)
-        .join(F.broadcast(ranges), "target_label")  # at most one row per class
-        .select("target_label", F.least(F.floor(place), F.lit(bins - 1)).cast("int").alias("bin"))
+        lengths.join(F.broadcast(ranges), "target_label")  # at most one row per class
+        .select("target_label", "n", F.least(F.floor(place), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("target_label", "bin")
-        .agg(F.count("*").alias("n_rows"))
+        .agg(F.sum("n").alias("n_rows"))
     )
     width = (F.col("hi") - F.col("lo")) / bins
     return (

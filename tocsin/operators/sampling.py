@@ -16,6 +16,7 @@ from tocsin.constants import FINGERPRINT_WORDS, RESPONSE_LABELS, ROWS_PER_CALL,
 from tocsin.functions.keys import key_to_long, seeded_key
 from tocsin.functions.text import fingerprint
 from tocsin.operators.tables import top_n_per_group, with_ordinal
+from tocsin.session import materialize
 
 
 def sample_per_class(df: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
@@ -64,14 +65,16 @@ def rotate_seeds(
 ) -> DataFrame:
     """``k`` distinct pool rows for every call.
 
-    The pool is numbered in seeded order. Slot ``s`` of a call picks a hashed
+    Only the ids of the pool are written and numbered, in seeded order; its
+    other columns are joined to the chosen rows at the end. Slot ``s`` of a call picks a hashed
     position among those congruent to ``s`` modulo ``k``, so slots never
     collide and calls join the pool by position instead of crossing it.
     """
-    size = pool.count()
+    ids = materialize(pool.select(id_col), "pool")
+    size = ids.count()
     if size < k:
         raise ValueError(f"pool holds {size} rows, {k} needed per call")
-    numbered = with_ordinal(pool, [id_col], seed)
+    numbered = with_ordinal(ids, [id_col], seed)
     slots = (
         pool.sparkSession.range(calls)
         .select(F.col("id").alias("call_id"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
@@ -79,7 +82,7 @@ def rotate_seeds(
         .withColumn("_n", F.floor((F.lit(size) - F.col("slot") + (k - 1)) / k))
         .select("call_id", "slot", (F.col("slot") + k * F.pmod("_h", F.col("_n"))).alias("ord"))
     )
-    return numbered.join(slots, "ord").drop("ord")
+    return pool.join(numbered.join(slots, "ord").drop("ord"), id_col)
 
 
 def dedup_fingerprint(

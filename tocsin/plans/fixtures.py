@@ -80,7 +80,7 @@ def processed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = scratch_path(spark, "processed")
     df = processed(spark, sf_dir)
-    columns = ["doc_id", "text", "raw_label", "target_label", "event", "event_set", "lang",
+    columns = ["doc_id", "raw_label", "target_label", "event", "event_set", "lang",
                "clean_text", "text_length", "word_count", "split"]
     write_messages(df.select(*columns), path)
     return read_messages(spark, path)

@@ -711,6 +711,8 @@ SELECT class, round(max(recall) FILTER (model = 'cosine'), 6) AS cosine, round(m
 FROM report GROUP BY class""",
     # --- H ---
     "H1_dedup_stream": f"WITH {GENERATED},{accepted(4, 400)} SELECT fingerprint FROM kept",
+    "H1_dedup_watermark": """
+SELECT DISTINCT 'user ' || (user_id % 100) || ' did ' || event_type AS fingerprint FROM events""",
 }
 
 

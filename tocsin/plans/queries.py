@@ -948,10 +948,25 @@ def G18_recall_side_by_side(spark, sf):
 
 @query
 def H1_dedup_stream(spark, sf):
-    stream = dedup.read_stream(
-        spark, f"{sf}/documents*.parquet", "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
-    )
+    """Documents arrive in several files and micro-batches."""
+    return _streamed(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", max_words=400)
+
+
+@query
+def H1_dedup_watermark(spark, sf):
+    """Events as short texts; the watermark is wider than the stream, so each text passes once."""
+    words = F.concat_ws(" ", F.lit("user"), F.pmod("user_id", F.lit(100)), F.lit("did"), "event_type")
+    events = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), words.alias("text"))
+    return _streamed(events, "ts", event_time="ts", delay="36500 days")
+
+
+def _streamed(df, order, files=6, per_batch=2, **options):
+    """Fingerprints that a stream over a few files of ``df`` lets through."""
+    spark = df.sparkSession
     path = scratch_path(spark, "stream")
-    unique = dedup.dedup_stream(stream, max_words=400).select("fingerprint")
+    df.repartitionByRange(files, order).write.parquet(f"{path}/in")
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    stream = dedup.read_stream(spark, f"{path}/in", schema, per_batch)
+    unique = dedup.dedup_stream(stream, **options).select("fingerprint")
     dedup.write_stream(unique, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("fingerprint STRING").parquet(f"{path}/out")

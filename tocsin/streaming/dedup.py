@@ -7,6 +7,9 @@ event-time column or use the RocksDB state store, which keeps state on disk.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,6 +25,21 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return reader.parquet(path)
 
 
+def _cut_in_tasks(good: DataFrame) -> DataFrame:
+    """Drop rows whose fingerprint the same task of the same micro-batch has met."""
+
+    def first_ones(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = []
+            for mark in batch.column("fingerprint").to_pylist():
+                new.append(mark not in seen)
+                seen.add(mark)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return good.mapInArrow(first_ones, good.schema)
+
+
 def dedup_stream(
     stream: DataFrame,
     text_col: str = "text",
@@ -33,12 +51,14 @@ def dedup_stream(
     """Good rows whose fingerprint has not been seen before.
 
     With ``event_time`` a fingerprint is forgotten once the watermark passes
-    ``delay`` after it; without, it is kept for good.
+    ``delay`` after it; without, it is kept for good. Copies are cut within
+    every task before they go to the state, so a text that fills the stream
+    arrives there once per task and micro-batch.
     """
     good = good_rows(stream, text_col, min_words, max_words).withColumn("fingerprint", fingerprint("clean_text"))
     if event_time is None:
-        return good.dropDuplicates(["fingerprint"])
-    return good.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+        return _cut_in_tasks(good).dropDuplicates(["fingerprint"])
+    return _cut_in_tasks(good).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
