@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin.constants import CLASSES
-from tocsin.operators import features, linear, profile, scoring
+from tocsin.operators import embeddings, features, linear, profile, scoring
 from tocsin.operators import naive_bayes as nb
 from tocsin.sources import state as st
 
@@ -184,3 +184,50 @@ def test_batched_scoring_equals_relational(state, held, batch):
 def test_double_weight_changes_the_machines_only(spark, train, state):
     other = scoring.fit_text_model(train, kinds=["Linear_SVM"], min_df=1, double_weight=True)
     assert other.models["Linear_SVM"].intercept != state.models["Linear_SVM"].intercept
+
+
+def test_all_models_are_scored_in_one_pass(state, held):
+    """One tokenisation and one scan of the features, however many models there are."""
+    plan = scoring.score_all(held, state)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    each = {
+        (r["model"], r["doc_id"]): r["proba"]
+        for m in state.models.values()
+        for r in linear.predict(scoring.features_of(held, state), m, held.select("doc_id")).collect()
+    }
+    for r in scoring.score_all(held, state).collect():
+        assert r["proba"] == pytest.approx(each[r["model"], r["doc_id"]])
+
+
+def test_logistic_regression_has_no_slope_left(spark, train):
+    """Gradient of the stated objective by every weight and intercept, recomputed densely."""
+    fitted = scoring.fit_text_model(train, kinds=["Logistic_Regression"], min_df=1)
+    m, x, size = fitted.models["Logistic_Regression"], scoring.features_of(train, fitted), fitted.vocab.count()
+    weight = {r["target_label"]: r["weight"] for r in profile.class_weights(train).collect()}
+    label = {r["doc_id"]: r["target_label"] for r in train.select("doc_id", "target_label").collect()}
+    place = {d: n for n, d in enumerate(sorted(label))}
+    dense, coef = np.zeros((len(place), size)), np.zeros((size, 5))
+    for r in x.collect():
+        dense[place[r["doc_id"]], r["term_id"]] = r["x"]
+    for r in m.weights.collect():
+        coef[r["term_id"]] = r["w"]
+    y = np.array([CLASSES.index(label[d]) for d in sorted(label)])
+    w = np.array([weight[label[d]] for d in sorted(label)])
+    z = dense @ coef + np.array(m.intercept)
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    residual = w[:, None] * (p - np.eye(5)[y])
+    start = np.linalg.norm(dense.T @ (w[:, None] * (0.2 - np.eye(5)[y])))
+    assert np.linalg.norm(dense.T @ residual + coef) < 1e-2 * start
+    assert np.abs(residual.sum(axis=0)).max() < 1e-2 * w.sum()
+
+
+def test_projection_spans_the_principal_plane(spark):
+    """Squared lengths in the plane equal those by a singular value decomposition."""
+    draw = np.random.default_rng(8)
+    data = draw.standard_normal((200, 6)) * np.array([5, 3, 1, 0.5, 0.2, 0.1])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["x"], r["y"]) for r in embeddings.project_2d(df).collect()}
+    axes = np.linalg.svd(data - data.mean(axis=0))[2][:2]
+    for i, r in enumerate(data):
+        assert np.abs(got[i]) == pytest.approx(np.abs(axes @ r), abs=1e-6)

@@ -38,8 +38,7 @@ def grid_variant(
         train = augment_train(real, numbered)
     state = fit_text_model(labelled(train, classes), classes=classes, **settings)
     heldout = labelled(real.filter(F.col("split").isin("dev", "test")), classes)
-    preds = score_all(heldout, state, classes=classes).join(heldout.select("doc_id", "split"), "doc_id")
-    flagged = preds.select(
+    flagged = score_all(heldout, state, classes=classes).select(
         "model", F.lit(synthetic is not None).alias("augmented"), "split", "doc_id",
         F.col("target_label").alias("y_true"), "y_pred", "proba",
     )
@@ -49,9 +48,11 @@ def grid_variant(
 def grid_rows(preds: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
     """One wide row per (model, augmented): ``dev_*`` and ``test_*`` metrics."""
     by = ["model", "augmented"]
-    dev = metrics_wide(preds.filter(F.col("split") == "dev"), by, classes, "dev_")
-    test = metrics_wide(preds.filter(F.col("split") == "test"), by, classes, "test_")
-    return dev.join(test, by, "full_outer")
+    wide = metrics_wide(preds, [*by, "split"], classes)  # one pass for both splits
+    metrics = [c for c in wide.columns if c not in (*by, "split")]
+    return wide.groupBy(*by).agg(
+        *[F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in ("dev", "test") for c in metrics]
+    )
 
 
 def run_grid(real: DataFrame, synthetic: DataFrame, classes: Sequence[str] = CLASSES, **settings) -> DataFrame:
