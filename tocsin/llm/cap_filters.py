@@ -35,10 +35,10 @@ from tocsin.session import materialize
 
 MIN_COSINE = 0.98
 SEED = 20
-PER_FILTER = 128  # entries aimed at per filter
+PER_FILTER = 1024  # entries aimed at per filter; more filters mean more copies on the way, fewer more products
 MAX_WORDS = 256  # per half; the table of filters has at most the square of it per dimension
 PART = 2048  # entries of a filter compared in one task with one part of those that look there
-MAX_PARTS = 64  # parts of the looking side
+MAX_CUTS = 64  # cuts of the looking side
 SLACK = 1e-9
 CHUNK = 512
 
@@ -124,19 +124,32 @@ def threshold(product: np.ndarray, min_cosine: float) -> np.ndarray:
     return np.where(s <= -min_cosine, -1.0, turned) - SLACK
 
 
+def _cells(filters: np.ndarray, node: np.ndarray, fixed: np.ndarray, every: np.ndarray, swap: bool):
+    """(row, cell) of the grid cells of filters: one index is drawn from the node, the other takes all values.
+
+    A filter's entries are cut into parts, those that look there into cuts;
+    the number of a cell holds part, filter and cut.
+    """
+    times = every[filters]
+    row = np.repeat(np.arange(len(filters)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    own = (node % fixed[filters])[row]
+    part, cut = (other, own) if swap else (own, other)
+    return row, (part << 24) | (filters[row] << 7) | cut
+
+
 def _look(words: int, dtype: str, min_cosine: float, table):
-    """Entries once per filter they must look at, and once, as stored, at their own."""
+    """Entries in the cells of their own filter, and in those of the filters at which they look for partners."""
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        worst = table.value
         for batch in batches:
             for dims, whole in _by_dims(batch) if batch.num_rows else ():
                 first, second = code(dims, words)
-                floor = worst.get(dims, np.empty(0))
+                floor, parts, cuts = table.value[dims]
                 for at in range(0, whole.num_rows, CHUNK):
-                    part = whole.slice(at, CHUNK)
-                    x = _unit(part.column("vector").to_pylist(), dtype)
-                    best = part.column("best").to_numpy()
+                    batch_part = whole.slice(at, CHUNK)
+                    x = _unit(batch_part.column("vector").to_pylist(), dtype)
+                    best, node = batch_part.column("best").to_numpy(), batch_part.column("node").to_numpy()
                     a, b = x @ first.T, x @ second.T
                     least = threshold(best, min_cosine)
                     rows, filters = [], []
@@ -150,19 +163,24 @@ def _look(words: int, dtype: str, min_cosine: float, table):
                         rows.append(np.full(len(found), i))
                         filters.append(found)
                     rows, filters = np.concatenate(rows), np.concatenate(filters)
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.take(pa.array(rows)).drop_columns(["filter"]).columns, pa.array(filters.astype(np.int32))],
-                        [*[n for n in part.schema.names if n != "filter"], "filter"],
-                    )
+                    own = batch_part.column("filter").to_numpy().astype(np.int64)
+                    kept, kept_cell = _cells(own, node, parts, cuts, swap=False)
+                    some, some_cell = _cells(filters, node[rows], cuts, parts, swap=True)
+                    lean = batch_part.drop_columns(["filter"])
+                    for at_row, cell, stored in ((kept, kept_cell, True), (rows[some], some_cell, False)):
+                        yield pa.RecordBatch.from_arrays(
+                            [*lean.take(pa.array(at_row)).columns, pa.array(cell), pa.array(np.full(len(cell), stored))],
+                            [*lean.schema.names, "cell", "stored"],
+                        )
 
     return task
 
 
 def _verify(dtype: str, min_cosine: float):
-    """Per group one label, one filter part: count and join pairs of stored and looking entries."""
+    """Per group one label and one cell: count and join pairs of stored and looking entries."""
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for table, offsets in groups(batches, "label", "part"):
+        for table, offsets in groups(batches, "label", "dims", "cell"):
             ids, stored = table.column("node").to_numpy(), table.column("stored").to_numpy(zero_copy_only=False)
             best, copies = table.column("best").to_numpy(), table.column("copies").to_numpy()
             vectors = table.column("vector").to_pylist()
@@ -239,35 +257,23 @@ def near_vectors(
     )
     # One row per filter in use: at most MAX_WORDS squared for each number of components.
     held = stored.groupBy("dims", "filter").agg(F.min("best").alias("worst"), F.count(F.lit(1)).alias("n"))
-    worst: dict[int, np.ndarray] = {}
+    table: dict[int, tuple] = {}
     for row in held.toLocalIterator():
-        worst.setdefault(row.dims, np.full(words * words, np.inf))[row["filter"]] = row.worst
-    lean = stored.select("label", "dims", "copies", "vector", "node", "best", "filter")
-    looking = lean.mapInArrow(
-        _look(words, dtype, min_cosine, spark.sparkContext.broadcast(worst)),
-        f"label {label_kind}, dims int, copies long, vector binary, node long, best double, filter int",
-    )
-    parts = held.select(
-        "dims",
-        "filter",
-        F.ceil(F.col("n") / PART).cast("int").alias("parts"),
-        F.least(F.ceil(F.col("n") / PART), F.lit(MAX_PARTS)).cast("int").alias("cuts"),
-    )
+        size = words * words
+        own = table.setdefault(row.dims, (np.full(size, np.inf), np.ones(size, np.int64), np.ones(size, np.int64)))
+        for values, value in zip(own, (row.worst, -(-row.n // PART), min(-(-row.n // PART), MAX_CUTS))):
+            values[row["filter"]] = value
     # A large filter becomes a grid: a stored entry lies in one of its parts and meets every cut
     # of the looking side there; a looking entry lies in one cut and goes to every part.
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
-    sides = [
-        rows.join(parts, ["dims", "filter"]).withColumn(a, one(a)).withColumn(b, span(b)).withColumn("stored", F.lit(s))
-        for rows, a, b, s in ((lean, "parts", "cuts", True), (looking, "cuts", "parts", False))
-    ]
-    part = F.concat_ws("/", "dims", "filter", "parts", "cuts").alias("part")
-    both = sides[0].unionByName(sides[1]).select("label", part, "stored", "node", "copies", "best", "vector")
+    looking = stored.select("label", "dims", "copies", "vector", "node", "best", "filter").mapInArrow(
+        _look(words, dtype, min_cosine, spark.sparkContext.broadcast(table)),
+        f"label {label_kind}, dims int, copies long, vector binary, node long, best double, cell long, stored boolean",
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(
-        both.repartition(n, "label", "part").sortWithinPartitions("label", "part").mapInArrow(
-            _verify(dtype, min_cosine), "node long, near long, other long"
-        ),
+        looking.repartition(n, "label", "dims", "cell")
+        .sortWithinPartitions("label", "dims", "cell")
+        .mapInArrow(_verify(dtype, min_cosine), "node long, near long, other long"),
         "near",
     )
     counts = found.groupBy("node").agg(F.sum("near").alias("near"))
