@@ -176,9 +176,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         known = np.sort(suspects.toArrow().column("hash").to_numpy())
         wanted = spark.sparkContext.broadcast(known)
     found = materialize(seen.mapInArrow(_pick(wanted), "digest binary, id long"), "suspected-lines")
-    first = (
-        found.groupBy("digest").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).filter("_first <> _last")
-    )
+    # Written, so that both sides of the join are plain exchanges: a line held by very many
+    # documents is then split over tasks where the adaptive plan finds it.
+    first = found.groupBy("digest").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    first = materialize(first.filter("_first <> _last").select("digest", "_first"), "confirmed-lines")
     return (
         found.join(first, "digest")
         .filter(F.col("id") != F.col("_first"))
