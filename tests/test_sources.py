@@ -10,6 +10,7 @@ from tocsin.sources import messages as src
 from tocsin.sources import reports
 from tocsin.streaming import dedup
 from tocsin.operators import evaluate, sampling, augment
+from tocsin import session
 from tocsin.session import shared_dir
 
 HEADER = "tweet_id\ttweet_text\tclass_label\n"
@@ -115,3 +116,11 @@ def test_leaderboard_and_best_row_ties(spark):
         "model string, y_true string, y_pred string",
     )
     assert [r["model"] for r in evaluate.leaderboard(preds).collect()] == ["a", "b", "c"]
+
+
+def test_scratch_is_cleared_on_request(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(3), "x").count() == 3
+    assert list(tmp_path.glob("tocsin/*"))
+    assert session.clear_scratch(spark)
+    assert not list(tmp_path.glob("tocsin/*"))
