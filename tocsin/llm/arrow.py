@@ -23,9 +23,9 @@ def whole_row(columns: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
 
 
-def unpacked(rows: pa.StructArray, columns: list[str], **replaced: pa.Array) -> list[pa.Array]:
+def unpacked(rows: pa.StructArray, columns: list[str], replaced: dict[str, pa.Array] | None = None) -> list[pa.Array]:
     """Columns of such structs, some replaced."""
-    return [replaced.get(c, a) for c, a in zip(columns, rows.flatten())]
+    return [(replaced or {}).get(c, a) for c, a in zip(columns, rows.flatten())]
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -33,11 +33,6 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def packed(arrays: Iterable[np.ndarray]) -> pa.Array:
-    """A binary column with one array's memory per row."""
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
-
-
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most ``rows`` rows, to bound what a task holds at once."""
     for start in range(0, batch.num_rows, rows):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
@@ -75,5 +74,3 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
-
-Features = Callable[[bytes], list[int]]

@@ -204,7 +204,7 @@ def _cut(min_length: int, columns: list[str], text: str):
                     body = b"\n".join(lines)
                 kept.append(body)
                 dropped.append(totals[-1] - len(lines))
-            own = unpacked(rows, columns, **{text: pa.array(kept, pa.binary()).cast(pa.string())})
+            own = unpacked(rows, columns, {text: pa.array(kept, pa.binary()).cast(pa.string())})
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
                 [*columns, "n_lines", "n_dropped"],
