@@ -728,13 +728,15 @@ def _phase_parts() -> str:
         parts.append(grams(f"{name}_rows", f"{name}_terms"))
         parts.append(tfidf(f"{name}_terms", f"{name}_x"))
         parts.append(nb_scored(f"{name}_rows", f"{name}_x", f"{name}_nb"))
-    union = " UNION ALL ".join(f"SELECT '{n}' AS phase, y_true, y_pred FROM {n}_nb" for n in phases)
+    model = "CASE WHEN alpha < 0.5 THEN 'Naive_Bayes_tuned' ELSE 'Naive_Bayes_base' END"
+    union = " UNION ALL ".join(f"SELECT '{n}|' || {model} AS run, y_true, y_pred FROM {n}_nb" for n in phases)
     return ",".join(parts) + f",\nphase_preds AS ({union})"
 
 
 ORACLES["G15_phases"] = (
-    f"WITH {TRAIN_X},{nb([0.1])},\n{rows_of('test')},{_phase_parts()},{report_ctes('phase_preds', 'phase')} "
-    f"SELECT *, 'Naive_Bayes' AS model FROM ({overall('phase', True)})"
+    f"WITH {TRAIN_X},{nb([0.1, 1.0])},\n{rows_of('test')},{_phase_parts()},{report_ctes('phase_preds', 'run')} "
+    f"SELECT * EXCLUDE (run), split_part(run, '|', 1) AS phase, split_part(run, '|', 2) AS model "
+    f"FROM ({overall('run', True)})"
 )
 
 

@@ -39,6 +39,9 @@ def _checksum(col: str):
 # --- A: sources and sinks ---------------------------------------------------
 
 
+PHASE_MODELS = {0.1: "Naive_Bayes_tuned", 1.0: "Naive_Bayes_base"}  # by smoothing
+
+
 def _placed(df, *order):
     """The small ordered table with the position of every row."""
     return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -895,8 +898,8 @@ def G14_average_precision(spark, sf):
 
 @query
 def G15_phases(spark, sf):
-    """Home language, other languages, and the romanised copy of the others."""
-    p, vocab, params, prior, _ = _nb_fitted(spark, sf)
+    """Home language, other languages and the romanised copy of the others, for two models."""
+    p, vocab, params, prior, _ = _nb_fitted(spark, sf, list(PHASE_MODELS))
     test = fx.split_of(p, "test")
     other = test.filter(F.col("lang") != "en")
     roman = romanize_table(other, LATIN_ACCENTS, "clean_text")
@@ -909,8 +912,9 @@ def G15_phases(spark, sf):
     for phase, rows in parts.items():
         x = features.tfidf(features.ngrams_table(rows), vocab)
         docs = rows.select("doc_id", F.col("target_label").alias("y_true"))
-        preds = nb.nb_predict(x, params, prior, docs).select(
-            F.lit(phase).alias("phase"), F.lit("Naive_Bayes").alias("model"), "y_true", "y_pred"
+        model = F.create_map(*[F.lit(v) for pair in PHASE_MODELS.items() for v in pair])[F.col("alpha")]
+        preds = nb.nb_sweep_predict(x, params, prior, docs, list(PHASE_MODELS)).select(
+            F.lit(phase).alias("phase"), model.alias("model"), "y_true", "y_pred"
         )
         out = preds if out is None else out.unionByName(preds)
     return evaluate.evaluate_phases(out)
