@@ -28,6 +28,16 @@ def _toward_smallest(links: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_settled(links: DataFrame) -> bool:
+    """Whether the links are stars: every node below has one node above, which is below none."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")),
+    )
+    nodes = links.select(F.inline(ends)).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.filter((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1))).isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link that is not the smallest of its component.
 
@@ -37,13 +47,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "links",
     )
-    state = None
     for _ in range(MAX_ROUNDS):
-        following = materialize(_toward_smallest(current), "round")
-        found = following.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-        ).first()
-        if found == state:
-            return following.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        current, state = following, found
+        if _is_settled(current):
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        current = materialize(_toward_smallest(current), "round")
     raise RuntimeError("components have not settled")
