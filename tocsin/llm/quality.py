@@ -38,7 +38,7 @@ SCALE = 8.0  # factor of the mean features; the penalty is on weights of this sc
 WANTED = 1  # least grade of a document to keep
 LEAST_TAIL = 0.5
 LONG = 30  # words of that length or more are alike
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 REPEAT = bucket(b"repeat")
 
 

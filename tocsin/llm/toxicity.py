@@ -34,7 +34,7 @@ MAX_WORDS = 64  # a sentence without an end is read in stretches of so many word
 START = -6.0  # log odds of a sentence before training
 PREFIXES = (3, 4, 5, 6)
 EDGES = bytes(b for b in range(0x21, 0x80) if not chr(b).isalnum())
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def held_out(key: Column) -> Column:
@@ -87,16 +87,18 @@ class ToxicityModel:
     bias: float
     prior: float = 0.0
     memo: Memo | None = field(default=None, repr=False, compare=False)
+    active: dict[int, float] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "prior": self.prior, "memo": None}
+        return {"weights": self.weights, "bias": self.bias, "prior": self.prior, "memo": None, "active": {}}
 
     #: Added to the weight of a word that closes a sentence, so that one number tells both.
     CLOSED = 1e6
 
     def _word(self, word: bytes) -> float:
-        own = np.array(features(word))
-        weight = float(self.weights[own] @ shares(own))
+        present = [f for f in features(word) if f != EMPTY]
+        found = [self.active[f] for f in present if f in self.active]
+        weight = sum(found) * len(PREFIXES) / len(present) if found else 0.0
         return weight + self.CLOSED if closes(word) else weight
 
     def sentence_logits(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +107,8 @@ class ToxicityModel:
         if not words or self.weights is None:
             return np.empty(0), np.empty(0, np.int64)
         if self.memo is None:
+            chosen = np.flatnonzero(self.weights)
+            self.active = dict(zip(chosen.tolist(), self.weights[chosen].tolist()))
             self.memo = Memo(self._word, CACHE_WORDS)
         weight = np.array(self.memo.all(words))
         ends = weight > self.CLOSED / 2
