@@ -30,7 +30,7 @@ def toxic_model(labelled):
 
 
 def test_toxicity_on_held_out_documents(labelled, toxic_model):
-    """A part of these labels is random: documents without any offending word are marked toxic."""
+    """These labels seem to carry noise: several missed documents hold no offending word."""
     _, test = labelled
     says = np.array([toxic_model.score(r[0]) >= toxicity.THRESHOLD for r in test])
     truth = np.array([r[2] for r in test], bool)
