@@ -100,6 +100,20 @@ def test_stream_dedup_over_several_batches(spark, tmp_path):
     assert {r[0] for r in out.select("fingerprint").collect()} == {r[0] for r in batch.select("fingerprint").collect()}
 
 
+def test_late_copy_does_not_hide_one_on_time(spark, tmp_path):
+    """The second batch brings a late and an on-time copy of a text in one task, the late one first."""
+    inbox, text = str(tmp_path / "in"), "please send help to street number "
+    for day, rows in enumerate([[("20", "1")], [("01", "2"), ("20", "2"), ("01", "3")]]):
+        stamped = [(f"2024-01-{d} 00:0{day}:00", text + n) for d, n in rows]
+        df = spark.createDataFrame(stamped, "ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(inbox)
+        stream = dedup.read_stream(spark, inbox, "ts TIMESTAMP, text STRING", files_per_trigger=1)
+        unique = dedup.dedup_stream(stream, event_time="ts", delay="1 hour")
+        dedup.write_stream(unique, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).select("text").collect()
+    assert sorted(r.text[-1] for r in out) == ["1", "2"]
+
+
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
