@@ -106,10 +106,45 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP12 = f"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, g GROUP BY term),
+m AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM n, g),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+  FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS qtf FROM i GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first_page FROM h GROUP BY hex)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (('0x' || substr(hex || '0', 1 + (5 * i) // 4, 2))::INT >> (3 - (5 * i) % 4)::INT) % 32, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM h JOIN f USING (hex)
+"""
+
 ORACLES = {
     "op2_near_vectors": OP2,
     "op4_url_filter": OP4,
     "op6_sharding": OP6,
     "op8_top_k": OP8,
     "op9_line_dedup": OP9,
+    "op13_warc": OP13,
 }

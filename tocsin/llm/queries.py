@@ -15,7 +15,9 @@ from tocsin.llm.sharding import shard, with_slots
 from tocsin.llm.simhash import near_duplicates
 from tocsin.llm.top_k import top_k
 from tocsin.llm.url_filter import Rule, judge
+from tocsin.llm.warc import read_archives, write_archives
 from tocsin.llm.workers import prepare_workers
+from tocsin.session import scratch_path
 
 SHARDS = 8
 URL_RULES = [
@@ -122,6 +124,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = scratch_path(spark, "warc")
+    write_archives(_read(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return read_archives(spark, path).select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_vectors": op2_near_vectors,
@@ -133,6 +148,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_warc": op13_warc,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
