@@ -146,5 +146,6 @@ ORACLES = {
     "op6_sharding": OP6,
     "op8_top_k": OP8,
     "op9_line_dedup": OP9,
+    "op12_lexical_search": OP12,
     "op13_warc": OP13,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tocsin.llm import pieces, quality, toxicity
 from tocsin.llm.cap_filters import near_vectors
+from tocsin.llm.dual_tree import search
 from tocsin.llm.line_dedup import drop_repeated_lines
 from tocsin.llm.oracles import ORACLES
 from tocsin.llm.packing import pack
@@ -124,6 +125,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best documents of every benchmark item."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return search(docs, _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     path = scratch_path(spark, "warc")
@@ -148,6 +155,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_lexical_search": op12_lexical_search,
     "op13_warc": op13_warc,
 }
 
