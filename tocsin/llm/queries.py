@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.llm import pieces, quality, toxicity
+from tocsin.llm.alignment import align
 from tocsin.llm.cap_filters import near_vectors
 from tocsin.llm.dual_tree import search
 from tocsin.llm.line_dedup import drop_repeated_lines
@@ -125,6 +126,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens that end together, and how usual the linked pairs are, for every document."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align(docs, *paths).withColumn("groups_sha256", digest).drop("groups")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty best documents of every benchmark item."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
@@ -155,6 +164,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_lexical_search": op12_lexical_search,
     "op13_warc": op13_warc,
 }
