@@ -11,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
-from tocsin.llm.alignment import Aligner, PairCounts, align, tree_sum, _narrow, _wide
+from tocsin.llm.alignment import Alignment, PairCounts, Tokens, _narrow, _wide, align, spelled, tokenize, tree_sum
 from tocsin.llm.perfect_hash import PerfectHash, bucket_of, build
 from tocsin.llm.queries import QUERIES
 
@@ -97,16 +97,18 @@ def odd(draw, n):
 
 def test_words_are_cut_where_tokens_end():
     """Word by word gives what the libraries give for whole texts."""
-    draw, own = random.Random(6), Aligner(BYTES, PIECES)
-    for text in [odd(draw, 12) for _ in range(6000)] + [" ", "  ", " a", "a ", "a  ", "\n a", "\n  a", "a \n b", "x" * 500, " " * 300 + "a"]:
-        t, words = plain(text), own.memo()(text.encode())
+    draw, own = random.Random(6), Tokens(BYTES, PIECES)
+    fixed = [" ", "  ", " a", "a ", "a  ", "\n a", "\n  a", "a \n b", "a\nb", "a\n\nb", "a\n", "\n", "x" * 500, " " * 300 + "a", "a\t b", "a \t b"]
+    texts = [odd(draw, 12) for _ in range(6000)] + fixed
+    ids = [own(t.encode()) for t in texts]
+    laid = Alignment(own, *zip(*ids))
+    for text, (a, b), groups in zip(texts, ids, laid.groups(spelled(BYTES, PIECES))):
+        t = plain(text)
         if t is None:
-            assert words is None, repr(text)
+            assert (a, b, groups) == (b"", b"", ""), repr(text)
             continue
-        assert (sum(w[0] for w in words), sum(w[1] for w in words)) == (len(t[0]), len(t[1])), repr(text)
-        groups = [g.split("|") for g in ";".join(w[3] for w in words).split(";")]
-        assert ",".join(g[0] for g in groups) == ",".join(map(str, t[0])), repr(text)
-        assert ",".join(g[1] for g in groups) == ",".join(map(str, t[1])), repr(text)
+        assert np.frombuffer(a, own.kind).tolist() == t[0] and np.frombuffer(b, own.kind).tolist() == t[1], repr(text)
+        assert ",".join(g.split("|")[0] for g in groups.split(";")) == ",".join(map(str, t[0])), repr(text)
 
 
 @pytest.mark.parametrize("keys", [{}, {"pass_keys": 200, "bucket_keys": 20}])
@@ -130,7 +132,7 @@ def test_pair_counts(spark):
     """The hash is minimal and perfect over the distinct pairs, and its vector holds their counts."""
     rows = [(i, f"one two {i % 9} three three") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    counted = PairCounts(df, BYTES, PIECES)
+    counted = PairCounts(tokenize(df, BYTES, PIECES), BYTES, PIECES)
     counts = Counter()
     for _, text in rows:
         a, b, ends_a, ends_b = plain(text)

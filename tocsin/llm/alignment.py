@@ -4,22 +4,24 @@ Tokens of both are laid over the same bytes, and cut into groups wherever both
 end. A link is a pair of tokens that end together; how often a pair of ids is
 linked in the corpus tells which is the usual counterpart.
 
-The counts are dense vectors. The distinct pairs get a minimal perfect hash in
-buckets; a pass over the documents adds up one vector per task, indexed by the
-hash and verified by key; the vectors are summed as a tree, some tasks at a
-time. Then a second pass aligns the documents again and looks up their counts.
-With very many distinct pairs both passes are repeated for some buckets at a
-time, so a task never holds more than :data:`PASS_KEYS` of them.
-
-Texts are aligned word by word, and words are remembered: neither tokenizer
-reaches across a blank that follows a visible character.
+Texts are tokenized once, and their ids are written. The distinct pairs of a
+first alignment get a minimal perfect hash in buckets. A pass over the
+documents adds up one dense vector of counts per task, indexed by the hash and
+verified by key; the vectors are summed as a tree, some tasks at a time. Then a
+second pass aligns the documents again and looks up their counts. With very
+many distinct pairs both passes are repeated for some buckets at a time, so a
+task never holds more than :data:`PASS_KEYS` of them.
+
+Tokenizing remembers words: neither tokenizer reaches across blanks and line
+ends that follow a visible character. Aligning works on whole batches: marks on
+the bytes where tokens end.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -41,11 +43,9 @@ ROWS = 200
 CHAIN = 4  # passes that look up counts before the table is written
 #: Fixed value: how the byte-level tokenizer splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A blank that may not be cut before: it follows white space, and does not begin a plain word.
-UNUSUAL = re.compile(r"^ |  |\s \s|\s $")
-
-#: Tokens A and B, groups, groups as text, linked pairs; None if the bytes differ.
-Aligned = tuple[int, int, int, str, bytes]
+WORDS = re.compile(r"[ \n]+[^ \n]*")
+#: Blanks that may not be cut before, as they follow other white space.
+UNUSUAL = re.compile(r"[^\S \n][ \n]")
 
 
 class ByteLevel:
@@ -77,97 +77,149 @@ class ByteLevel:
         return self.library.encode(text, add_special_tokens=False).ids
 
 
-class Aligner:
-    """Alignment of texts under a byte-level tokenizer (A) and a piece model (B)."""
+class Tokens:
+    """Ids of both tokenizers: A of a blank and the text, B of the text."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.a = ByteLevel(byte_level)
         encoder = PieceEncoder(pieces)
         self.b, self.cuttable = encoder.library, encoder.cuttable
         self.b_surface = encoder.surface
-        self.b_size = len(encoder.surface)
         self.blank = self.b.piece_to_id(BLANK.decode())
-
-    def words(self, text: str) -> list[str]:
-        """Parts of a text, each with a blank in front that is left out."""
+        self.length_a = np.zeros(max(self.a.surface) + 1, np.int64)
+        for i, t in self.a.surface.items():
+            self.length_a[i] = len(t)
+        self.length_b = np.array([len(t) for t in self.b_surface], np.int64)
+        #: How ids are packed.
+        self.kind = np.dtype("<u2" if max(len(self.length_a), len(self.length_b)) <= 1 << 16 else "<u4")
+        self.known = Memo(self._word, CACHE_WORDS)
+
+    def _words(self, text: str) -> list[str]:
+        """Parts of a text that begins with a blank."""
         if not self.cuttable:
             return [text]
-        parts = text.split(" ")
+        parts = WORDS.findall(text)
         if not UNUSUAL.search(text):
             return parts
         joined = [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            visible = before and not before[-1].isspace()
-            if visible or before and part and not part[0].isspace():
-                joined.append(part)
+        for part in parts[1:]:
+            if joined[-1][-1].isspace():
+                joined[-1] += part
             else:
-                joined[-1] += " " + part
+                joined.append(part)
         return joined
 
-    def word(self, word: str) -> Aligned | None:
-        """Groups of a blank and a word."""
-        a = self.a.encode(" " + word)
-        b = self.b.encode(word, num_threads=1) if word else [self.blank]
-        text = (" " + word).encode()
+    def _word(self, word: str) -> tuple[bytes, bytes] | tuple[()]:
+        """Ids of a part; nothing if its bytes are not given back."""
+        a = self.a.encode(word)
+        if word == " ":
+            b = [self.blank]
+        elif word[0] == " ":
+            b = self.b.encode(word[1:], num_threads=1)
+        else:  # the library's blank, which stands alone before a line end, is not part of it
+            b = self.b.encode(word, num_threads=1)[1:]
         own, other = [self.a.surface.get(i, b"") for i in a], [self.b_surface[i] for i in b]
+        text = word.encode()
         if b"".join(own) != text or b"".join(other) != text or not all(own) or not all(other):
-            return None
-        ends_a, ends_b = np.cumsum([len(x) for x in own]), np.cumsum([len(x) for x in other])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            groups.append(f"{','.join(map(str, a[from_a:to_a]))}|{','.join(map(str, b[from_b:to_b]))}")
-            from_a, from_b = to_a, to_b
-        pairs = np.array(a, np.int64)[last_a] * self.b_size + np.array(b, np.int64)[last_b]
-        return len(a), len(b), len(groups), ";".join(groups), pairs.tobytes()
-
-    def memo(self) -> Callable[[str], list[Aligned] | None]:
-        """Alignment of whole texts with a memory for words; None for texts without tokens."""
-        known = Memo(lambda w: self.word(w) or (), CACHE_WORDS)
-
-        def text(raw_text: bytes) -> list[Aligned] | None:
-            if not raw_text or BLANK in raw_text:
-                return None
-            words = self.words(raw_text.decode("utf-8", "replace"))
-            if max(map(len, words)) <= LONGEST_REMEMBERED:
-                found = known.all(words)
-            else:
-                found = [known(w) if len(w) <= LONGEST_REMEMBERED else self.word(w) or () for w in words]
-            return found if all(found) else None
-
-        return text
+            return ()
+        return np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
+
+    def __call__(self, raw_text: bytes) -> tuple[bytes, bytes]:
+        """Packed ids of a text; none if both do not give its bytes back."""
+        if not raw_text or BLANK in raw_text:
+            return b"", b""
+        words = self._words(" " + raw_text.decode("utf-8", "replace"))
+        if max(map(len, words)) <= LONGEST_REMEMBERED:
+            found = self.known.all(words)
+        else:
+            found = [self.known(w) if len(w) <= LONGEST_REMEMBERED else self._word(w) for w in words]
+        if not all(found):
+            return b"", b""
+        return b"".join([w[0] for w in found]), b"".join([w[1] for w in found])
 
 
 @cache
-def aligner(byte_level: str, pieces: str) -> Aligner:
+def tokens(byte_level: str, pieces: str) -> Tokens:
     """One per Python worker."""
-    return Aligner(byte_level, pieces)
+    return Tokens(byte_level, pieces)
 
 
 @cache
-def remembering(byte_level: str, pieces: str) -> Callable[[bytes], list[Aligned] | None]:
-    return aligner(byte_level, pieces).memo()
+def spelled(byte_level: str, pieces: str) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal ids with the sign that follows: within a group, then at its end."""
+    own = tokens(byte_level, pieces)
+    a, b = range(len(own.length_a)), range(len(own.length_b))
+    return (
+        np.array([f"{i}{sign}" for sign in ",|" for i in a], object),
+        np.array([f"{i}{sign}" for sign in ",;" for i in b], object),
+    )
+
+
+class Alignment:
+    """All texts of a batch at once, laid over their bytes end to end."""
+
+    def __init__(self, own: Tokens, a: list[bytes], b: list[bytes]):
+        self.a, self.b = (np.frombuffer(b"".join(x), own.kind).astype(np.int64) for x in (a, b))
+        self.size_a, self.size_b = (np.array([len(x) // own.kind.itemsize for x in y], np.int64) for y in (a, b))
+        end_a, end_b = np.cumsum(own.length_a[self.a]), np.cumsum(own.length_b[self.b])
+        marks = np.zeros((2, (end_a[-1] if len(end_a) else 0) + 1), bool)
+        marks[0, end_a] = marks[1, end_b] = True
+        self.shared_a, self.shared_b = marks[1, end_a], marks[0, end_b]
+        self.last_a, self.last_b = np.flatnonzero(self.shared_a), np.flatnonzero(self.shared_b)
+        #: One pair of ids for every group, as no token is empty.
+        self.pairs = self.a[self.last_a] * len(own.length_b) + self.b[self.last_b]
+        ends = np.cumsum(self.size_a)
+        self.n_groups = np.diff(np.append(0, np.cumsum(self.shared_a))[np.append(0, ends)])
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of what pairs have, by text."""
+        ends = np.append(0, np.cumsum(self.n_groups))
+        return np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[ends])
+
+    def groups(self, signs: tuple[np.ndarray, np.ndarray]) -> list[str]:
+        """Groups of every text as ``a1,a2|b1;a3|b2,b3``."""
+        out = np.empty(len(self.a) + len(self.b), object)
+        group_a, group_b = np.cumsum(self.shared_a) - self.shared_a, np.cumsum(self.shared_b) - self.shared_b
+        before = np.append(0, self.last_b + 1)
+        out[np.arange(len(self.a)) + before[group_a]] = signs[0][self.a + self.shared_a * (len(signs[0]) // 2)]
+        out[np.arange(len(self.b)) + self.last_a[group_b] + 1] = signs[1][self.b + self.shared_b * (len(signs[1]) // 2)]
+        ends = np.append(0, np.cumsum(self.size_a + self.size_b)).tolist()
+        return ["".join(out[i:j].tolist())[:-1] for i, j in zip(ends, ends[1:])]
+
+
+def _tokenized(paths: tuple[str, str]):
+    def task(batches: Batches) -> Iterator[pa.RecordBatch]:
+        own = tokens(*paths)
+        for batch in batches:
+            for part in slices(batch, ROWS):
+                a, b = zip(*[own(t) for t in raw(part.column(1))])
+                zero = pa.array(np.zeros(part.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary()), zero, zero],
+                    ["key", "a", "b", "n_best", "count_sum"],
+                )
+
+    return task
 
 
-def _linked(texts: list[list[Aligned] | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of some texts, and how many each has."""
-    pairs = [b"".join([w[4] for w in t]) if t else b"" for t in texts]
-    return np.frombuffer(b"".join(pairs), np.int64), np.array([len(p) // 8 for p in pairs], np.int64)
+def _aligned(paths: tuple[str, str], part: pa.RecordBatch) -> Alignment:
+    return Alignment(tokens(*paths), *[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("a", "b")])
 
 
 def _distinct(paths: tuple[str, str]):
-    """Distinct pairs of this task; also met ones, as memory is given up now and then."""
+    """Distinct pairs of this task."""
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        align, held = aligner(*paths).memo(), np.empty(0, np.int64)
+        held, new = np.empty(0, np.int64), []
         for batch in batches:
             for part in slices(batch, ROWS):
-                pairs, _ = _linked([align(t) for t in raw(part.column(0))])
-                held = np.union1d(held, pairs)
+                new.append(np.unique(_aligned(paths, part).pairs))
+                if sum(map(len, new)) > max(len(held), 1 << 18):
+                    held, new = np.unique(np.concatenate([held, *new])), []
                 if len(held) > PASS_KEYS:
                     yield pa.RecordBatch.from_arrays([pa.array(held)], ["pair"])
                     held = np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held)], ["pair"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([held, *new])))], ["pair"])
 
     return task
 
@@ -201,12 +253,12 @@ def _counted(paths: tuple[str, str], shared):
     """One dense vector of counts, in chunks, for this task."""
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        align, table = remembering(*paths), shared.value
+        table = shared.value
         counts = np.zeros(len(table), np.int64)
         for batch in batches:
             for part in slices(batch, ROWS):
-                place = table.places(_linked([align(t) for t in raw(part.column(0))])[0])
-                counts += np.bincount(place[place >= 0], minlength=len(table))
+                place = table.places(_aligned(paths, part).pairs)
+                np.add.at(counts, place[place >= 0], 1)
         chunks = range(0, len(counts), CHUNK_KEYS)
         packed = [(at // CHUNK_KEYS, _narrow(counts[at : at + CHUNK_KEYS])) for at in chunks if counts[at : at + CHUNK_KEYS].any()]
         yield pa.RecordBatch.from_arrays(
@@ -235,44 +287,47 @@ def _looked_up(paths: tuple[str, str], shared, last: bool):
     """Adds the counts of one pass to ``n_best`` and ``count_sum``; the last one gives the whole result."""
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        align, (table, counts, best) = remembering(*paths), shared.value
-        b_size = aligner(*paths).b_size
+        table, counts, best = shared.value
         for batch in batches:
             for part in slices(batch, ROWS):
-                texts = [align(t) for t in raw(part.column(1))]
-                pairs, size = _linked(texts)
-                place = table.places(pairs)
-                own = np.where(place >= 0, counts[place], 0) if len(table) else np.zeros(len(pairs), np.int64)
-                is_best = (place >= 0) & (own == best[pairs % b_size])
-                ends = np.cumsum(size)
-                for name, value in (("n_best", is_best), ("count_sum", own)):
-                    total = np.append(0, np.cumsum(value, dtype=np.int64))
-                    at = part.schema.get_field_index(name)
-                    summed = part.column(at).to_numpy() + total[ends] - total[ends - size]
-                    part = part.set_column(at, name, pa.array(summed))
+                laid = _aligned(paths, part)
+                place = table.places(laid.pairs)
+                own = np.zeros(len(place), np.int64)
+                own[place >= 0] = counts[place[place >= 0]]
+                is_best = (place >= 0) & (own == best[laid.pairs % len(best)])
+                sums = [part.column(at).to_numpy() + laid.per_text(x) for at, x in ((3, is_best), (4, own))]
+                sums = [pa.array(x) for x in sums]
                 if not last:
-                    yield part
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], *sums], part.schema.names)
                     continue
-                sums = [[sum([w[i] for w in t]) if t else 0 for t in texts] for i in range(3)]
-                groups = [";".join([w[3] for w in t]) if t else "" for t in texts]
-                columns = [part.column(0), *[pa.array(s, pa.int64()) for s in (*sums, sums[2])], part.column(2), part.column(3)]
+                n_groups = pa.array(laid.n_groups)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(groups, pa.string())],
+                    [
+                        part.column(0), pa.array(laid.size_a), pa.array(laid.size_b), n_groups, n_groups, *sums,
+                        pa.array(laid.groups(spelled(*paths)), pa.string()),
+                    ],
                     ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
-                )
+                )
 
     return task
 
 
+def tokenize(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written ids of both tokenizers: key, ``a`` and ``b`` (packed integers), and two counters at zero."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"key {kind}, a binary, b binary, n_best long, count_sum long"
+    return materialize(docs.select(key, text).mapInArrow(_tokenized((byte_level, pieces)), schema), "tokens")
+
+
 class PairCounts:
-    """Perfect hashes of the distinct pairs, pass by pass, and their counts.
+    """Perfect hashes of the distinct pairs of tokenized texts, pass by pass, and their counts.
 
     ``passes`` is a list of (hash, counts); ``best`` has the highest count of every B id.
     """
 
-    def __init__(self, docs: DataFrame, byte_level: str, pieces: str, text: str = "text", pass_keys: int = PASS_KEYS, bucket_keys: int = BUCKET_KEYS):
+    def __init__(self, tokenized: DataFrame, byte_level: str, pieces: str, pass_keys: int = PASS_KEYS, bucket_keys: int = BUCKET_KEYS):
         self.paths = (byte_level, pieces)
-        context, texts = docs.sparkSession.sparkContext, docs.select(text)
+        context, texts = tokenized.sparkSession.sparkContext, tokenized.select("a", "b")
         pairs = materialize(texts.mapInArrow(_distinct(self.paths), "pair long").distinct(), "pairs")
         self.n_pairs = pairs.count()
         n_buckets = max(1, -(-self.n_pairs // bucket_keys))
@@ -280,7 +335,7 @@ class PairCounts:
         built = materialize(built.applyInArrow(_built, "bucket long, sizes array<bigint>, words binary, keys binary"), "hash")
         at_once = max(1, pass_keys // bucket_keys)
         self.passes: list[tuple[PerfectHash, np.ndarray]] = []
-        self.best = np.zeros(aligner(*self.paths).b_size, np.int64)
+        self.best = np.zeros(len(tokens(*self.paths).length_b), np.int64)
         for first in range(0, n_buckets, at_once):
             rows = built.filter(F.col("bucket").between(first, first + at_once - 1)).collect()
             own = {r.bucket: (r.sizes, bytes(r.words), bytes(r["keys"])) for r in rows}
@@ -311,13 +366,12 @@ def align(
     read. An empty table gives an empty one. One text must fit a task's memory.
     """
     context, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
-    counted = PairCounts(docs, byte_level, pieces, text, pass_keys, bucket_keys)
-    zero = F.lit(0).cast("long")
-    table = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), zero.alias("n_best"), zero.alias("count_sum"))
+    table = tokenize(docs, byte_level, pieces, key, text)
+    counted = PairCounts(table, byte_level, pieces, pass_keys, bucket_keys)
     for i, (hashed, counts) in enumerate(counted.passes, 1):
         last = i == len(counted.passes)
         shared = context.broadcast((hashed, counts, counted.best))
-        schema = f"key {kind}, text string, n_best long, count_sum long"
+        schema = f"key {kind}, a binary, b binary, n_best long, count_sum long"
         if last:
             schema = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
         table = table.mapInArrow(_looked_up(counted.paths, shared, last), schema)
