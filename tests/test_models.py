@@ -64,7 +64,7 @@ def test_tfidf_and_naive_bayes_against_brute_force(spark, train, held):
     idf = {g: math.log((1 + n) / (1 + c)) + 1 for g, c in df.items() if c >= 2}
 
     terms = features.ngrams_table(train, carry=["target_label"])
-    vocab = features.fit_vocab(terms, train, min_df=2, max_df=1.0)
+    vocab = features.fit_vocab(train, min_df=2, max_df=1.0)
     got = {r["term"]: r["idf"] for r in vocab.collect()}
     assert got == pytest.approx(idf)
 
@@ -93,8 +93,7 @@ def test_tfidf_and_naive_bayes_against_brute_force(spark, train, held):
 
 
 def test_vocabulary_ignores_heldout_rows_and_bounds_are_inclusive(spark, train):
-    terms = features.ngrams_table(train)
-    a = features.fit_vocab(terms, train, min_df=3, max_df=0.95, max_features=12).collect()
+    a = features.fit_vocab(train, min_df=3, max_df=0.95, max_features=12).collect()
     assert len(a) == 12
     assert [r["term_id"] for r in sorted(a, key=lambda r: r["term"])] == list(range(12))
     assert min(r["df"] for r in a) >= 3

@@ -1,21 +1,23 @@
 """TF-IDF features as a long table ``(doc_id, ..., term_id, x)``.
 
-Text is shuffled once, by document id. The n-grams that a document explodes
-into, their counts and the row norm then stay in that partition, so no step
-shuffles the (several times larger) n-gram table. The vocabulary is broadcast:
-it holds ``max_features`` rows at most.
+The n-grams that a document explodes into, their counts and the row norm stay
+in the document's partition, so no step shuffles the (several times larger)
+n-gram table. A table that is bucketed by document id is read as it lies; any
+other is hash-partitioned by id once. The vocabulary comes from bounded
+summaries (``heavy_hitters``) and is broadcast while it is small enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tocsin.constants import MAX_DF, MAX_FEATURES, MIN_DF
 from tocsin.functions.text import ngrams, tokens
+from tocsin.operators.heavy_hitters import CAPACITY, frequent_terms
 from tocsin.session import cluster_by
 
 
@@ -27,15 +29,9 @@ def ngrams_table(
     text_col: str = "clean_text",
     carry: Sequence[str] = (),
     keep_marks: bool = False,
-    clustered: bool = False,
 ) -> DataFrame:
-    """N-gram counts per document: ``(id, *carry, term, tf)``.
-
-    ``clustered`` says that the input is already partitioned by ``id_col``.
-    """
-    rows = df.select(id_col, *carry, text_col)
-    if not clustered:
-        rows = cluster_by(rows, id_col)
+    """N-gram counts per document: ``(id, *carry, term, tf)``."""
+    rows = cluster_by(df.select(id_col, *carry, text_col), id_col)
     # Tokens are a column of their own: the n-grams refer to them several times.
     return (
         rows.select(id_col, *carry, tokens(text_col, keep_marks).alias("_tokens"))
@@ -45,35 +41,54 @@ def ngrams_table(
     )
 
 
+def _bounds(n_docs: Column, min_df: int, max_df: float, df: str = "df", df_most: str = "df") -> Column:
+    return (F.col(df) >= min_df) & (F.col(df_most) <= max_df * n_docs)
+
+
+def _with_ids(kept: DataFrame, n_docs: Column, max_features: int) -> DataFrame:
+    alphabet = Window.orderBy("term")  # max_features rows at most
+    return kept.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features).select(
+        (F.row_number().over(alphabet) - 1).cast("int").alias("term_id"),
+        "term",
+        "df",
+        "cnt",
+        (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"),
+    )
+
+
 def fit_vocab(
-    terms: DataFrame,
     docs: DataFrame,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int = MAX_FEATURES,
+    lo: int = 1,
+    hi: int = 2,
+    text_col: str = "clean_text",
+    keep_marks: bool = False,
+    capacity: int = CAPACITY,
 ) -> DataFrame:
     """Terms to keep: ``(term_id, term, df, cnt, idf)``.
 
     Document-frequency bounds first, then the most frequent ``max_features``
-    by corpus count, ties to the smaller term. Ids follow the alphabet.
-    ``docs`` supplies the number of documents, token-less ones included.
+    by corpus count, ties to the smaller term. Ids follow the alphabet. Every
+    row of ``docs`` is a document, token-less ones included. The n-grams are
+    counted in bounded summaries; what is shuffled are these.
     """
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    kept = (
-        terms.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-        .orderBy(F.desc("cnt"), F.asc("term"))
-        .limit(max_features)
-    )
-    alphabet = Window.orderBy("term")  # max_features rows at most
-    return kept.select(
-        (F.row_number().over(alphabet) - 1).cast("int").alias("term_id"),
-        "term",
-        "df",
-        "cnt",
-        (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"),
+    n_docs = F.lit(docs.count())
+    counted = frequent_terms(
+        docs, max_features, _bounds(n_docs, min_df, max_df), _bounds(n_docs, min_df, max_df, df_most="df_most"),
+        lo, hi, text_col, keep_marks, capacity,
     )
+    return _with_ids(counted, n_docs, max_features)
+
+
+def fit_vocab_of_terms(
+    terms: DataFrame, docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
+    """The same from the long table of n-gram counts, which it shuffles by term."""
+    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    counted = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
+    return _with_ids(counted.filter(_bounds(n_docs, min_df, max_df)), n_docs, max_features)
 
 
 def tfidf(

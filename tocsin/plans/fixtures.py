@@ -18,7 +18,7 @@ from tocsin.operators.embeddings import centroid_scores, centroids
 from tocsin.operators.experiments import labelled
 from tocsin.operators.labels import prepare_messages
 from tocsin.session import scratch_path, spread
-from tocsin.sources.messages import read_messages, write_messages
+from tocsin.sources.messages import write_messages_bucketed
 
 LANGS = ["de", "en", "es", "fr"]
 N_VECTOR_LABELS = 10
@@ -73,17 +73,17 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, written by split and read back: the input of model building.
+    """The same, written by split in buckets of the id and read back: the input of model building.
 
     Later steps read a split several times and count its rows, which costs
-    nothing on files and a second cleaning otherwise.
+    nothing on files and a second cleaning otherwise; features group by
+    document, which costs no shuffle on buckets.
     """
     path = scratch_path(spark, "processed")
     df = processed(spark, sf_dir)
     columns = ["doc_id", "raw_label", "target_label", "event", "event_set", "lang",
                "clean_text", "text_length", "word_count", "split"]
-    write_messages(df.select(*columns), path)
-    return read_messages(spark, path)
+    return write_messages_bucketed(df.select(*columns), path)
 
 
 def split_of(df: DataFrame, *splits: str) -> DataFrame:

@@ -557,14 +557,13 @@ def F1_ngrams(spark, sf):
 
 @query
 def F2_vocab(spark, sf):
-    train, terms = _train_terms(spark, sf)
-    return evaluate.rounded(features.fit_vocab(terms, train))
+    return evaluate.rounded(features.fit_vocab(fx.split_of(fx.processed_table(spark, sf), "train")))
 
 
 @query
 def F3_tfidf(spark, sf):
     train, terms = _train_terms(spark, sf)
-    x = features.tfidf(terms, features.fit_vocab(terms, train))
+    x = features.tfidf(terms, features.fit_vocab(train))
     return x.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.round(F.sum("x"), 6).alias("sum_x"), F.round(F.max("x"), 6).alias("max_x")
     )
@@ -573,7 +572,7 @@ def F3_tfidf(spark, sf):
 @query
 def F4_tfidf_plain(spark, sf):
     train, terms = _train_terms(spark, sf)
-    vocab = features.fit_vocab(terms, train, min_df=1, max_df=1.0, max_features=10_000)
+    vocab = features.fit_vocab(train, min_df=1, max_df=1.0, max_features=10_000)
     x = features.tfidf(terms, vocab, sublinear=False)
     return x.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.round(F.sum("x"), 6).alias("sum_x"), F.round(F.max("x"), 6).alias("max_x")
@@ -584,7 +583,7 @@ def F4_tfidf_plain(spark, sf):
 def F5_transform(spark, sf):
     p = fx.processed_table(spark, sf)
     train, test = fx.split_of(p, "train"), fx.split_of(p, "test")
-    vocab = features.fit_vocab(features.ngrams_table(train), train)
+    vocab = features.fit_vocab(train)
     return evaluate.rounded(features.tfidf(features.ngrams_table(test), vocab))
 
 
@@ -593,7 +592,7 @@ def F6_maxabs(spark, sf):
     p = fx.processed_table(spark, sf)
     train, test = fx.split_of(p, "train"), fx.split_of(p, "test")
     terms = features.ngrams_table(train)
-    vocab = features.fit_vocab(terms, train)
+    vocab = features.fit_vocab(train)
     scale = features.fit_maxabs(features.tfidf(terms, vocab))
     return evaluate.rounded(features.apply_maxabs(features.tfidf(features.ngrams_table(test), vocab), scale))
 
@@ -601,7 +600,7 @@ def F6_maxabs(spark, sf):
 @query
 def F7_matrix_profile(spark, sf):
     train, terms = _train_terms(spark, sf)
-    vocab = features.fit_vocab(terms, train)
+    vocab = features.fit_vocab(train)
     x = features.tfidf(terms, vocab)
     return features.matrix_profile(features.apply_maxabs(x, features.fit_maxabs(x)), vocab, train)
 
@@ -611,7 +610,7 @@ def _nb_fitted(spark, sf, alpha=0.1):
     p = fx.processed_table(spark, sf)
     train = fx.split_of(p, "train")
     terms = features.ngrams_table(train, carry=["target_label"])
-    vocab = materialize(features.fit_vocab(terms, train), "vocab")
+    vocab = materialize(features.fit_vocab(train), "vocab")
     weights = profile.class_weights(train)
     params = nb.nb_fit(features.tfidf(terms, vocab), weights, alpha)
     return p, vocab, params, nb.nb_prior(weights), weights

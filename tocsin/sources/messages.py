@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.constants import SPLITS
 from tocsin.operators.tables import lookup
+from tocsin.session import write_bucketed
 
 RAW_SCHEMA = "tweet_id LONG, tweet_text STRING, class_label STRING"
 MESSAGE_SCHEMA = (
@@ -102,6 +103,15 @@ def read_messages(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA)
     return spark.read.schema(schema).parquet(path)
 
 
+def write_messages_bucketed(df: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Processed table in buckets of the document id, one directory per split, and read back.
+
+    The files are those of :func:`write_messages` as well, so they can be read
+    by path; what is returned knows the buckets.
+    """
+    return df.sparkSession.table(write_bucketed(df, path, "doc_id", "split", buckets))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV copy with a header and doubled quotes."""
     df.write.options(
