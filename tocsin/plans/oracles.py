@@ -713,6 +713,28 @@ FROM report GROUP BY class""",
     "H1_dedup_stream": f"WITH {GENERATED},{accepted(4, 400)} SELECT fingerprint FROM kept",
     "H1_dedup_watermark": """
 SELECT DISTINCT 'user ' || (user_id % 100) || ' did ' || event_type AS fingerprint FROM events""",
+    "H1_forgetful_dedup": """
+WITH RECURSIVE e AS (
+  SELECT event_id, epoch_us(ts) AS at_us, 'user ' || (user_id % 100) || ' did ' || event_type AS fingerprint,
+         epoch_us(ts) + 3600000000 * CASE WHEN event_id % 10 = 9 THEN 72 WHEN event_id % 33 = 5 THEN 12 ELSE 0 END AS arrival
+  FROM events),
+b AS (SELECT *, least((arrival - 1704067200000000) // 86400000000 // 5, 5) AS batch FROM e),
+marks AS (SELECT a.batch, (SELECT max(at_us) FROM b WHERE b.batch < a.batch) // 1000 * 1000 - 86400000000 AS watermark
+          FROM (SELECT DISTINCT batch FROM b) a),
+-- Rows behind the watermark are late; the others follow each other by batch, time and number.
+r AS (
+  SELECT fingerprint, event_id, at_us, row_number() OVER (PARTITION BY fingerprint ORDER BY b.batch, at_us, event_id) AS pos
+  FROM b JOIN marks USING (batch) WHERE watermark IS NULL OR at_us > watermark),
+passed AS (
+  SELECT fingerprint, 1::BIGINT AS pos, at_us FROM r WHERE pos = 1
+  UNION ALL
+  SELECT n.fingerprint, n.pos, r.at_us FROM (
+    SELECT r.fingerprint, min(r.pos) AS pos FROM passed p
+    JOIN r ON r.fingerprint = p.fingerprint AND r.pos > p.pos AND r.at_us >= p.at_us + 172800000000
+    GROUP BY r.fingerprint) n JOIN r ON r.fingerprint = n.fingerprint AND r.pos = n.pos)
+SELECT r.fingerprint, r.event_id AS place, r.at_us FROM passed JOIN r USING (fingerprint, pos)""",
+    "H1_generation_target": CAPPED.replace("{calls}", "60"),
+    "H1_generation_budget": CAPPED.replace("{calls}", "15"),
 }
 
 

@@ -21,7 +21,7 @@ from tocsin.plans import fixtures as fx
 from tocsin.session import materialize, scratch_path
 from tocsin.sources import messages as src
 from tocsin.sources import reports, state
-from tocsin.streaming import dedup
+from tocsin.streaming import dedup, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -963,6 +963,58 @@ def H1_dedup_watermark(spark, sf):
     return _streamed(events, "ts", event_time="ts", delay="36500 days")
 
 
+def _arriving(df, batches):
+    """A folder of files in order of arrival, one micro-batch each, and the stream over it."""
+    path = scratch_path(df.sparkSession, "arriving")
+    for batch in range(batches):
+        df.filter(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = ", ".join(f"{c} {t}" for c, t in df.drop("batch").dtypes)
+    return path, dedup.read_stream(df.sparkSession, f"{path}/in", schema, 1)
+
+
+def _late_events(spark, sf):
+    """Events as short texts. Every tenth arrives three days late, every 33rd half a day; six batches of five days."""
+    words = F.concat_ws(" ", F.lit("user"), F.pmod("user_id", F.lit(100)), F.lit("did"), "event_type")
+    hours = F.when(F.col("event_id") % 10 == 9, 72).when(F.col("event_id") % 33 == 5, 12).otherwise(0)
+    arrival = F.unix_micros("ts") + hours * 3_600_000_000
+    day = F.floor((arrival - 1_704_067_200_000_000) / 86_400_000_000)  # from the beginning of 2024
+    events = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.select("event_id", "ts", words.alias("text"), F.least(F.floor(day / 5), F.lit(5)).cast("int").alias("batch"))
+
+
+@query
+def H1_forgetful_dedup(spark, sf):
+    """A text passes again after two days; the watermark lets in what is less than a day late."""
+    path, stream = _arriving(_late_events(spark, sf), 6)
+    unique = stateful.forgetful_dedup(stream, "event_id", "ts", "2 days", "1 day")
+    stateful.run_stateful(unique, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("fingerprint STRING, place LONG, at_us LONG").parquet(f"{path}/out")
+
+
+def _generation(spark, sf, target, per_call):
+    rows = fx.generated(spark, sf)
+    most = rows.agg(F.max("arrival")).scalar()
+    batch = F.least(F.floor(F.col("arrival") * 5 / (most + 1)), F.lit(4)).cast("int")
+    path, stream = _arriving(rows.withColumn("call_id", F.col("call_id") + 1000).withColumn("batch", batch), 5)
+    kept = stateful.generation_loop(
+        stream.withColumn("run", F.lit("one")), "run", target=target, per_call=per_call, max_words=400
+    )
+    stateful.run_stateful(kept, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("arrival LONG, call_id LONG").parquet(f"{path}/out")
+
+
+@query
+def H1_generation_target(spark, sf):
+    """As D7_cap_rows, over five micro-batches."""
+    return _generation(spark, sf, 200, 10)
+
+
+@query
+def H1_generation_budget(spark, sf):
+    """As D7_call_budget, over five micro-batches."""
+    return _generation(spark, sf, 200, 40)
+
+
 def _streamed(df, order, files=6, per_batch=2, **options):
     """Fingerprints that a stream over a few files of ``df`` lets through."""
     spark = df.sparkSession
