@@ -114,7 +114,8 @@ def test_squared_hinge_reaches_the_optimum(spark, train):
     x = scoring.features_of(train, fitted)
     size = fitted.vocab.count()
     table = linear.train_table(x, train, profile.class_weights(train), size)
-    model = linear.svm_fit(table, tol=1e-6, max_iter=300)
+    model = linear.svm_fit(table, tol=1e-8)
+    assert model.gap <= 1e-8
     dense, y, w = [], [], []
     for r in table.rows.collect():
         row = np.zeros(size)
@@ -134,6 +135,21 @@ def test_squared_hinge_reaches_the_optimum(spark, train):
         assert abs(bias[k] - 2 * np.sum(w * sign * short)) < 1e-3
 
 
+def test_dual_fit_over_several_parts_has_the_same_optimum(spark, train, monkeypatch):
+    """Parts that improve apart meet at the optimum of one part; the gap bounds how far off it can be."""
+    fitted = scoring.fit_text_model(train, kinds=[], min_df=1)
+    x = scoring.features_of(train, fitted)
+    table = linear.train_table(x, train, profile.class_weights(train), fitted.vocab.count())
+    whole = linear.svm_fit(table, tol=1e-5)
+    monkeypatch.setattr(linear, "PART_ROWS", 20)
+    parts = linear.svm_fit(table, tol=1e-5)
+    a, b = ({r["term_id"]: r["w"] for r in m.weights.collect()} for m in (whole, parts))
+    assert np.allclose([a[t] for t in sorted(a)], [b[t] for t in sorted(b)], atol=0.02)
+    assert 0 <= parts.gap <= 1e-5
+    with pytest.raises(linear.NotConverged):
+        linear.svm_fit(table, max_rounds=2, tol=1e-9)
+
+
 def test_logistic_regression_reaches_the_optimum(spark, train):
     fitted = scoring.fit_text_model(train, kinds=["Logistic_Regression"], min_df=1)
     m = fitted.models["Logistic_Regression"]
