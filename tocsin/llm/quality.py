@@ -37,15 +37,31 @@ PENALTY = 1e-5
 SCALE = 8.0  # factor of the mean features; the penalty is on weights of this scale
 WANTED = 1  # least grade of a document to keep
 LEAST_TAIL = 0.5
+STRETCH = 40  # characters of a word that are read as one
 LONG = 30  # words of that length or more are alike
 CACHE_WORDS = 120_000
 REPEAT = bucket(b"repeat")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words by ASCII white space; long ones also by any other, and then in consecutive stretches."""
+    words = text.split()
+    if max(map(len, words), default=0) <= STRETCH:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= STRETCH:
+            out.append(word)
+            continue
+        for part in word.decode("utf-8", "replace").split():
+            out += [part[at : at + STRETCH].encode("utf-8", "replace") for at in range(0, len(part), STRETCH)]
+    return out
+
+
 def outline(word: str) -> str:
     """Capitals as X, small letters as x, digits as 9, other signs kept; runs are cut to two."""
     kinds = "".join(
-        "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:40]
+        "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word
     )
     return re.sub(r"(.)\1\1+", r"\1\1", kinds)
 
@@ -53,7 +69,7 @@ def outline(word: str) -> str:
 def features(word: bytes) -> list[int]:
     """Hashed outline, signs and length of a word."""
     text = word.decode("utf-8", "replace")
-    signs = "".join(c for c in text if not c.isalnum())[:4]
+    signs = re.sub(r"(.)\1\1+", r"\1\1", "".join(c for c in text if not c.isalnum()))
     return [
         bucket(b"o:" + outline(text).encode("utf-8", "replace")),
         bucket(b"s:" + signs.encode("utf-8", "replace")) if signs else EMPTY,
@@ -80,7 +96,7 @@ class QualityModel:
 
     def latent(self, text: bytes) -> float:
         """The linear score; 0 for a text without words."""
-        words = text.split()
+        words = words_of(text)
         if self.weights is None or not words:
             return 0.0
         if self.memo is None:
@@ -109,7 +125,7 @@ def fit_texts(
     row, column, value = [], [], []
     repeats = np.zeros(len(texts))
     for at, text in enumerate(texts):
-        words = text.split()
+        words = words_of(text)
         if not words:
             continue
         ids, counts = np.unique([index.setdefault(x, len(index)) for x in words], return_counts=True)
