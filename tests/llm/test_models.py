@@ -39,6 +39,56 @@ def test_toxicity_on_held_out_documents(labelled, toxic_model):
     assert (says & ~truth).sum() <= 0.005 * len(test)
 
 
+def plain_score(model, text):
+    """Word by word and sentence by sentence, from the weights."""
+    words, sentences, own, last = toxicity.words_of(text), [], [], None
+    for word in words:
+        present = [f for f in toxicity.features(word) if f != toxicity.EMPTY]
+        weight = sum(model.weights[f] for f in present) * len(toxicity.PREFIXES) / len(present) if present else 0.0
+        own.append(0.0 if word == last else weight)
+        last = word
+        if toxicity.closes(word) or len(own) == toxicity.MAX_WORDS:
+            sentences.append(sum(own))
+            own = []
+    if own:
+        sentences.append(sum(own))
+    none = 1.0
+    for z in sentences:
+        none *= 1 / (1 + np.exp(z + model.bias))
+    return 1 - none
+
+
+def test_scores_against_a_plain_loop(labelled, toxic_model):
+    _, test = labelled
+    for text, *_ in [*test[:400], (b"a",), (b"",), (b"w " * 200,), (b"\n\n",)]:
+        assert toxic_model.score(text) == pytest.approx(plain_score(toxic_model, text), abs=1e-9)
+
+
+@pytest.mark.parametrize("megabytes", [0.1, 0.5, 1, 2, 5, 20])
+def test_length_makes_no_text_toxic(labelled, toxic_model, megabytes):
+    """Clean held-out texts joined stay clean, and one offending sentence among them is found."""
+    _, test = labelled
+    clean, parts, size = [r[0] for r in test if not r[2] and toxic_model.score(r[0]) < 0.05], [], 0
+    while size < megabytes * 1e6:
+        parts.append(clean[len(parts) % len(clean)])
+        size += len(parts[-1]) + 1
+    text = b"\n".join(parts)
+    assert toxic_model.score(text) < 0.1 and not toxic_model.offending(text)
+    worst = max((r[0] for r in test if r[2]), key=toxic_model.score)
+    sentence = toxic_model.offending(worst)[0][0].encode()
+    hidden = text[: len(text) // 2] + b"\n" + sentence + b"\n" + text[len(text) // 2 :]
+    assert toxic_model.score(hidden) >= toxicity.THRESHOLD and len(toxic_model.offending(hidden)) == 1
+
+
+def test_a_key_on_many_rows_counts_once(spark):
+    from tocsin.llm.learn import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (9, 1)], "doc_id long, toxic int")
+    sample, sizes = labelled_sample(docs, labels, "doc_id", "text", F.col("toxic"), 5)
+    assert sample.num_rows == 3 and sizes == {0: 2, 1: 1}
+
+
 def test_noisy_or_and_offending_sentences(labelled, toxic_model):
     _, test = labelled
     text = max((r[0] for r in test if r[2]), key=toxic_model.score)
@@ -81,6 +131,29 @@ def test_quality_on_held_out_documents(labelled):
     assert tails[good].sum(axis=1).mean() > 1 > tails[~good].sum(axis=1).mean()
 
 
+def plain_latent(model, text):
+    words = quality.words_of(text)
+    total, last = 0.0, None
+    for word in words:
+        total += sum(model.weights[f] for f in quality.features(word)) + (model.weights[quality.REPEAT] if word == last else 0)
+        last = word
+    return quality.SCALE * total / len(words) if words else 0.0
+
+
+def test_quality_reads_whole_words(labelled):
+    """Every character of a long word counts, in any script, and the score is that of a plain loop."""
+    train, test = labelled
+    grade = np.array([0 if not r[1] else 1 if r[2] else 2 for r in train])
+    model = quality.fit_texts([r[0] for r in train], grade, np.ones(len(train)))
+    odd = ["中文字" * 900, "x" * 5000 + "#%$" * 2000, "a b" * 200, "ß" * 41, "!?" * 300]
+    for text in [*[r[0] for r in test[:300]], *[t.encode() for t in odd]]:
+        assert model.latent(text) == pytest.approx(plain_latent(model, text), abs=1e-9)
+        assert b"".join(quality.words_of(text)) == b"".join("".join(text.decode().split()).encode().split())
+    clean, junk = "中" * 45, "中" * 45 + "@@@###$$$" * 40
+    assert model.latent(clean.encode()) != model.latent(junk.encode())
+    assert quality.features("中文####".encode()) != quality.features("中文####!".encode())
+
+
 def test_quality_fit_has_no_slope_left():
     """One feature in two shares: at the optimum the thresholds reproduce the shares of the grades."""
     texts = [b"AA bb", b"AA AA bb", b"bb"] * 40

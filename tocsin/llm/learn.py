@@ -25,8 +25,9 @@ def labelled_sample(
     ``target`` is an integer over the columns of ``labels``; null means
     unlabelled. Of several label rows of one key the largest class counts.
     Rows are chosen by a digest of the key, so the choice is repeatable and
-    not tied to the order of keys. What is broadcast and what comes to the
-    driver is bounded by ``per_class`` rows for each class.
+    not tied to the order of keys; of several rows of one key the text with the
+    smallest digest counts. What is broadcast and what comes to the driver is
+    bounded by ``per_class`` rows for each class.
     """
     marked = labels.select(F.col(key).alias("_key"), target.cast("int").alias("class"))
     marked = marked.filter(F.col("_key").isNotNull() & F.col("class").isNotNull())
@@ -45,7 +46,10 @@ def labelled_sample(
     for t in tables[1:]:
         chosen = chosen.unionByName(t)
     rows = narrow.join(F.broadcast(chosen), "_key")
-    return rows.orderBy("_key", F.md5(F.col("text").cast("binary"))).select("text", "class").toArrow(), sizes
+    # One text of every key, whatever the number of its rows; tasks cut their own rows first.
+    first = F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("mark"), "text")).alias("first")
+    one = rows.groupBy("_key", "class").agg(first)
+    return one.orderBy("_key").select(F.col("first.text").alias("text"), "class").toArrow(), sizes
 
 
 class Adam:

@@ -6,6 +6,14 @@ document is toxic unless all of its sentences are harmless: one minus the
 product of one minus the sentence scores (noisy-or). The likelihood of the
 document labels under that rule trains the weights, so the sentence scores
 come out without sentence labels and locate what offends.
+
+Labels err. A share of them, fitted along with the weights, calls documents
+toxic without any such sentence. Were it left out, the fit would explain these
+documents by a floor under all sentences, and every text of enough sentences
+would come out toxic. The floor is a constant instead, so low that a million
+sentences without an offending word add up to less than 0.05. Clean documents
+count as longer ones, so that words which lean towards toxic texts only a little
+are not weighted, and at the end all log odds are stretched by a factor.
 """
 
 from __future__ import annotations
@@ -32,6 +40,11 @@ LEAST_DOCS = 4  # documents of the sample that a feature must occur in
 THRESHOLD = 0.7
 MAX_WORDS = 64  # a sentence without an end is read in stretches of so many words
 START = -6.0  # log odds of a sentence before training
+FLOOR = -17.0  # log odds of a sentence without any weighted word, before they are stretched: 4e-8
+NOISE = 0.02  # share of labels that call a harmless document toxic, before training
+MISSED = 0.005  # share of labels that call a toxic document clean
+LONGER = 30.0  # a clean document of the sample stands for texts so many times as long
+SHARP = 3.0  # factor of all log odds after the fit: what leans little then adds nothing up
 PREFIXES = (3, 4, 5, 6)
 EDGES = bytes(b for b in range(0x21, 0x80) if not chr(b).isalnum())
 CACHE_WORDS = 120_000
@@ -168,17 +181,24 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds:
     y, w = np.array(label, bool), np.array(importance) / np.sum(importance)
     token, sentence = np.concatenate(tokens), np.concatenate(sentence_of)
 
-    def pull(z: np.ndarray) -> np.ndarray:
-        """Derivative of the negative log likelihood by the log odds of every sentence."""
-        log_none = np.minimum(-np.add.reduceat(softplus(z), doc), -1e-9)
-        # p of the sentence, times 1 for clean and -(1 - P) / P for toxic documents
-        factor = np.where(y, np.exp(log_none) / np.expm1(log_none), 1.0) * w
-        return sigmoid(z) * np.repeat(factor, counts)
+    def pull(z: np.ndarray, noise: float, longer: float = 1.0) -> tuple[np.ndarray, float]:
+        """Derivatives of the negative log likelihood by the log odds of every sentence, and of the noise.
+
+        A clean document stands for one ``longer`` times as long; a share :data:`MISSED` of them hides an offence.
+        """
+        total = np.maximum(np.add.reduceat(softplus(z), doc), 1e-9)
+        none = np.exp(-total)
+        said = 1 - (1 - noise) * none  # chance of a label that says toxic
+        clean = (1 - MISSED) * np.exp(-np.minimum(longer * total, 700.0))
+        # p of the sentence, times what its document makes of it
+        factor = np.where(y, -(1 - noise) * none / said, longer * clean / (clean + MISSED)) * w
+        by_noise = np.where(y, -none / said, 1 / (1 - noise)) * w
+        return sigmoid(z) * np.repeat(factor, counts), float(by_noise.sum()) * noise * (1 - noise)
 
     values = {"bias": np.full(1, START)}
     adam = Adam(RATE)
     for _ in range(ROUNDS // 4):
-        adam.step(values, {"bias": pull(np.repeat(values["bias"], n_sentences)).sum(keepdims=True)})
+        adam.step(values, {"bias": pull(np.repeat(values["bias"], n_sentences), 0.0)[0].sum(keepdims=True)})
 
     # Only features that occur often enough and lean towards toxic documents are fitted, and
     # their weights are never negative: no word makes up for an offensive one.
@@ -186,7 +206,7 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds:
     doc_of = np.repeat(np.arange(len(counts)), counts)[sentence]
     pairs = np.unique(doc_of.astype(np.int64) * len(index) + token)
     seen = np.bincount(table[pairs % len(index)].ravel(), minlength=BUCKETS)
-    dz = pull(np.repeat(values["bias"], n_sentences))
+    dz, _ = pull(np.repeat(values["bias"], n_sentences), 0.0)
 
     def per_feature(x: np.ndarray) -> np.ndarray:
         return np.bincount(table.ravel(), np.repeat(np.bincount(token, x[sentence], len(index)), table.shape[1]), BUCKETS)
@@ -202,18 +222,27 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds:
     token, sentence = new[token[known]], sentence[known]
 
     values["weights"] = np.zeros(BUCKETS)
+    values["noise"] = np.full(1, np.log(NOISE / (1 - NOISE)))
     for turn in range(2 * rounds):
+        if turn == rounds:
+            # From here the floor is the constant one; sentences that stood out keep their odds.
+            values["weights"] *= (1 - FLOOR) / (1 - min(values["bias"][0], 0.0))
+            values["bias"][:] = FLOOR
         # fitted on with hardly any penalty at the end, else weights stay short
         penalty = SPARSITY if turn < rounds else SPARSITY / 20
+        longer = LONGER ** min(1.0, max(0.0, (turn - rounds) / (0.75 * rounds)))  # step by step, else doubtful documents count as hidden
         word = (values["weights"][table] * part).sum(axis=1)
         z = np.bincount(sentence, word[token], n_sentences) + values["bias"]
-        dz = pull(z)
+        dz, dnoise = pull(z, float(sigmoid(values["noise"])[0]), longer)
         dword = np.bincount(token, dz[sentence], len(words))
         g = np.bincount(table.ravel(), (part * dword[:, None]).ravel(), BUCKETS)
         g = np.where(useful, g + penalty, 0)
-        adam.step(values, {"weights": g, "bias": dz.sum(keepdims=True)})
+        bias = dz.sum(keepdims=True) if turn < rounds else np.zeros(1)
+        adam.step(values, {"weights": g, "noise": np.full(1, dnoise), "bias": bias})
         np.maximum(values["weights"], 0, out=values["weights"])
-    return ToxicityModel(values["weights"], float(values["bias"][0]))
+        if turn >= rounds:
+            values["bias"][:] = FLOOR
+    return ToxicityModel(SHARP * values["weights"], SHARP * FLOOR)
 
 
 def fit(
