@@ -281,3 +281,12 @@ def test_cosine_and_nearest(spark):
     assert [r["vec_id"] for r in rows] == [0, 1]
     assert [r["similarity"] for r in rows] == pytest.approx([1.0, 0.6], abs=1e-6)
 
+
+
+def test_curves_keep_groups_without_a_name(spark):
+    """A null in a grouping column is a group like any other."""
+    rows = [(m, CLASSES[i % 2], [0.1 * (i % 7), 0.2, 0.0, 0.0, 0.0]) for m in (None, "a") for i in range(12)]
+    preds = spark.createDataFrame(rows, "model string, y_true string, proba array<double>")
+    points = evaluate.curve_points(evaluate.scores_long(preds, by=["model"]), ["model"])
+    found = {r.model: r.n for r in points.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    assert found[None] == found["a"] > 0

@@ -230,7 +230,7 @@ def class_matrix(
     board = leaderboard(preds, by, classes)
     best_first = Window.orderBy(F.desc("macro_f1"), *by)  # one row per model
     ranked = board.select(*by, F.row_number().over(best_first).alias("rank"))
-    return wide.join(F.broadcast(ranked), list(by))
+    return wide.join(ranked, list(by))
 
 
 def ablation(results: DataFrame, metric: str, by: str = "model", flag: str = "augmented") -> DataFrame:
@@ -372,17 +372,18 @@ def curve_points(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     group = Window.partitionBy(*keys)
     above = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     heads = cut.groupBy(*keys, "slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        *keys,
-        "slice",
+        *[F.col(c).alias(f"_{c}") for c in keys],
+        F.col("slice").alias("_slice"),
         F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"),
         F.coalesce(F.sum("n").over(above), F.lit(0)).alias("fp0"),
         F.sum("p").over(group).alias("n_pos"),
         F.sum("n").over(group).alias("n_neg"),
     )
     inside = Window.partitionBy(*keys, "slice").orderBy(F.desc("score"))
-    points = cut.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(
-        heads, [*keys, "slice"]
-    )
+    same = F.col("slice") == F.col("_slice")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    points = cut.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(heads, same)
     tp, fp = F.col("tp") + F.col("tp0"), F.col("fp") + F.col("fp0")
     return points.select(
         *keys,

@@ -738,6 +738,25 @@ SELECT r.fingerprint, r.event_id AS place, r.at_us FROM passed JOIN r USING (fin
 }
 
 
+def _feistel(rounds: int = 6) -> str:
+    """One mapping of ``x`` in rows of ``walk``, as nested selections of the two digits h and l."""
+    sql = "SELECT doc_id, n, a, b, step, x // b AS h, x % b AS l FROM walk WHERE step = 0 OR x >= n"
+    for r in range(rounds):
+        h = f"(h + {hlong(hkey(chr(39) + '42' + chr(39), str(r), 'l'))}) % a" if r % 2 == 0 else "h"
+        low = "l" if r % 2 == 0 else f"(l + {hlong(hkey(chr(39) + '42' + chr(39), str(r), 'h'))}) % b"
+        sql = f"SELECT doc_id, n, a, b, step, {h} AS h, {low} AS l FROM ({sql})"
+    return f"SELECT doc_id, n, a, b, step + 1 AS step, h * b + l AS x FROM ({sql})"
+
+
+ORACLES["D3_permute"] = f"""WITH RECURSIVE size AS (
+  SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b
+  FROM (SELECT max(doc_id) + 1 AS n FROM documents)),
+walk AS (
+  SELECT doc_id, n, a, b, 0 AS step, doc_id AS x FROM documents, size
+  UNION ALL {_feistel()})
+SELECT doc_id, x AS position FROM walk WHERE step > 0 AND x < n"""
+
+
 def _phase_parts() -> str:
     parts = []
     phases = {
