@@ -264,7 +264,7 @@ def top_k(
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     cells = (
         buckets.withColumn("beat", F.lit(None).cast("binary"))
-        .withColumn("grp", F.pmod("nth", F.lit(n_groups)).cast("int"))
+        .withColumn("grp", spread("nth", n_groups))
         .withColumn("part", every(n_parts))
         .unionByName(asking.withColumn("grp", every(n_groups)).withColumn("part", spread("nth", n_parts)))
     )
