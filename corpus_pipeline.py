@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import line_dedup, near_copies, packing, quality, toxicity
+from tocsin.llm import line_dedup, packing, quality, simhash, toxicity
 from tocsin.llm.workers import prepare_workers
 from tocsin.session import materialize
 
@@ -46,9 +46,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of fingerprints: four-word shingles, at most four differing bits."""
     prepare_workers(spark)
-    return near_copies.drop_near_copies(docs).select(*docs.columns)
+    return simhash.drop_near_duplicates(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
