@@ -56,10 +56,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("filter_bytes", [line_dedup.FILTER_BYTES, 0])
-def test_odd_rows(spark, monkeypatch, filter_bytes):
-    """With and without the test of suspects in the scanning tasks."""
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", filter_bytes)
+@pytest.mark.parametrize("slice_size", [line_dedup.SLICE, 1])
+def test_odd_rows(spark, monkeypatch, slice_size):
+    """With few and with many slices."""
+    monkeypatch.setattr(line_dedup, "SLICE", slice_size)
     rows = [(n, *r, "clash", n) for n, r in enumerate(ROWS)]
     df = spark.createDataFrame(rows, "n int, doc_id long, text string, n_lines string, id int").repartition(4)
     want, got = loop(ROWS), {r.n: r for r in drop_repeated_lines(df).collect()}
@@ -77,3 +77,20 @@ def test_bloom_has_what_it_was_given():
     bloom.add(known)
     assert bloom.has(known).all()
     assert bloom.has(other).mean() < 0.02
+
+
+def test_only_suspects_leave_their_task(spark, tmp_path):
+    """The occurrences lie in buckets of their task: the plan that picks suspects shuffles answers only."""
+    df = spark.range(8 * 500).repartition(8).selectExpr("id AS doc_id", "concat('line of its own ', id, '\\nshared by two ', id % 2000) AS text")
+    seen = line_dedup._in_buckets_of_tasks(
+        df.selectExpr("doc_id AS _id", "text AS _text").mapInArrow(
+            line_dedup._occurrences(10), "task long, batch long, digests binary, ids binary"
+        ),
+        8,
+    )
+    told = seen.groupBy(seen.task.alias("asked")).count()
+    plan = seen.join(told.hint("merge"), seen.task == told.asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = line_dedup.repeated_lines(df).collect()
+    assert sorted(r.id for r in found) == list(range(2000, 4000))
+    assert all(len(r.digests) == 1 for r in found)

@@ -5,29 +5,34 @@ ever shuffled. Whether a digest may be a repeat is decided with two Bloom
 filters per slice of the hash space: the first holds what was seen once, the
 second what was seen again while already in the first. Digests are cut to one
 entry per Arrow batch before they travel, so a line held by a third of all
-documents arrives once per batch. Only occurrences that pass the second filter
-are shuffled for the exact count and the choice of the first document.
+documents arrives once per batch. A slice answers every batch with those of its
+hashes that pass the second filter, and only these occurrences are shuffled for
+the exact count and the choice of the first document. The number of slices
+grows with the lines, so a slice is small whatever the size of the table, and
+neither hashes nor filters ever reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.arrow import Batches, kinds, raw, unpacked, whole_row
-from tocsin.session import materialize
+from tocsin.session import materialize, scratch_path
 
 MIN_LENGTH = 10
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = 2**63 - 1
 BITS_PER_HASH = 16
 PROBES = 4
-FILTER_BYTES = 64 << 20  # suspects up to here are tested in the scanning tasks
+SLICE = 1 << 20  # hashes of a slice, at most on average; a task takes about four
 DIGEST = 16
 
 
@@ -65,10 +70,14 @@ class Bloom:
 
 
 def _occurrences(min_length: int):
-    """Per Arrow batch one row: digests of the lines of its documents, with the documents' ids."""
+    """Per Arrow batch one row: digests of the lines of its documents, with the documents' ids.
+
+    ``task`` and ``batch`` number the row.
+    """
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        own = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             digests, ids = [], []
             for doc, text in zip(batch.column("_id").to_pylist(), raw(batch.column("_text"))):
                 keys = {k for k in map(line_key, text.split(b"\n")) if long_enough(k, min_length)}
@@ -76,7 +85,13 @@ def _occurrences(min_length: int):
                 ids += [doc] * len(keys)
             if digests:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b"".join(digests)]), pa.array([np.array(ids, "<i8").tobytes()])], ["digests", "ids"]
+                    [
+                        pa.array([own], pa.int64()),
+                        pa.array([number], pa.int64()),
+                        pa.array([b"".join(digests)]),
+                        pa.array([np.array(ids, "<i8").tobytes()]),
+                    ],
+                    ["task", "batch", "digests", "ids"],
                 )
 
     return task
@@ -92,7 +107,8 @@ def _slices(n: int):
 
     def task(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digests, ids in zip(batch.column("digests").to_pylist(), batch.column("ids").to_pylist()):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("task", "batch", "digests", "ids")))
+            for own, number, digests, ids in rows:
                 hashes, docs = _hashes(digests), np.frombuffer(ids, "<i8")
                 order = np.lexsort((docs, hashes))
                 hashes, docs = hashes[order], docs[order]
@@ -106,20 +122,23 @@ def _slices(n: int):
                 cut = list(zip(edges[:-1], edges[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([own] * len(cut), pa.int64()),
+                        pa.array([number] * len(cut), pa.int64()),
                         pa.array([int(part[a]) for a, _ in cut], pa.int32()),
                         pa.array([unique[a:b].tobytes() for a, b in cut], pa.binary()),
                         pa.array([unique[a:b][again[a:b]].tobytes() for a, b in cut], pa.binary()),
                     ],
-                    ["slice", "hashes", "again"],
+                    ["task", "batch", "slice", "hashes", "again"],
                 )
 
     return task
 
 
 def _suspects(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """Hashes of the task's slices that may occur twice: no repeat is missed, few others pass."""
-    blocks, again = [], []
+    """For every batch its hashes that may occur twice: no repeat is missed, few others pass."""
+    names, blocks, again = [], [], []
     for batch in batches:
+        names += zip(batch.column("task").to_pylist(), batch.column("batch").to_pylist())
         blocks += [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
         again += [np.frombuffer(x, "<u8") for x in batch.column("again").to_pylist()]
     total = sum(map(len, blocks))
@@ -130,52 +149,53 @@ def _suspects(batches: Batches) -> Iterator[pa.RecordBatch]:
         twice.add(block[once.has(block)])
         twice.add(known)
         once.add(block)
-    for block in blocks:
+    for (task, number), block in zip(names, blocks):
         hit = block[twice.has(block)]
         if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(hit.view("<i8"))], ["hash"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task]), pa.array([number]), pa.array([hit.tobytes()])], ["task", "batch", "hashes"]
+            )
 
 
-def _pick(wanted):
-    """Occurrences (digest, id) whose hash is in the sorted array behind ``wanted``; all without one."""
+def _pick(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Occurrences (digest, id) whose hash is among the ``suspects`` of their batch."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("digests", "ids", "suspects")))
+        for digests, ids, suspects in rows:
+            hit = np.isin(_hashes(digests), np.frombuffer(b"".join(suspects), "<u8"))
+            docs, keys = np.frombuffer(ids, "<i8")[hit], np.frombuffer(digests, f"V{DIGEST}")[hit]
+            cells = pa.Array.from_buffers(pa.binary(DIGEST), len(keys), [None, pa.py_buffer(keys.tobytes())])
+            yield pa.RecordBatch.from_arrays([cells.cast(pa.binary()), pa.array(docs)], ["digest", "id"])
 
-    def task(batches: Batches) -> Iterator[pa.RecordBatch]:
-        known = None if wanted is None else wanted.value
-        for batch in batches:
-            for digests, ids in zip(batch.column("digests").to_pylist(), batch.column("ids").to_pylist()):
-                docs, keys = np.frombuffer(ids, "<i8"), np.frombuffer(digests, f"V{DIGEST}")
-                if known is not None:
-                    hashes = _hashes(digests).view("<i8")
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                    docs, keys = docs[hit], keys[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.Array.from_buffers(pa.binary(DIGEST), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()), pa.array(docs)],
-                    ["digest", "id"],
-                )
 
-    return task
+def _in_buckets_of_tasks(df: DataFrame, n: int) -> DataFrame:
+    """``df`` written in ``n`` buckets of ``task`` without a shuffle: a task's rows lie in one bucket anyway."""
+    spark, name = df.sparkSession, f"tocsin_{uuid4().hex}"
+    df.write.bucketBy(n, "task").option("path", scratch_path(spark, "lines")).saveAsTable(name)
+    return spark.table(name)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
     """(id, digests): for every document the lines that an earlier document holds.
 
-    Documents are ordered by id; rows that share an id are one document, and a
-    null id is one document after all others.
+    Documents are ordered by id, an integer; rows that share an id are one
+    document, and a null id is one document after all others.
     """
-    spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"))
-    seen = materialize(narrow.mapInArrow(_occurrences(min_length), "digests binary, ids binary"), "lines")
-    sliced = seen.mapInArrow(_slices(n), "slice int, hashes binary, again binary")
-    suspects = materialize(
-        sliced.repartition(n // 4, "slice").mapInArrow(_suspects, "hash long").distinct(), "suspects"
+    occurrences = narrow.mapInArrow(_occurrences(min_length), "task long, batch long, digests binary, ids binary")
+    seen = _in_buckets_of_tasks(occurrences, n)
+    lines = seen.agg(F.coalesce(F.sum(F.length("digests")), F.lit(0))).first()[0] // DIGEST
+    slices = 4 * max(n, -(-lines // (4 * SLICE)))
+    sliced = seen.mapInArrow(_slices(slices), "task long, batch long, slice int, hashes binary, again binary")
+    answers = sliced.repartition(slices // 4, "slice").mapInArrow(_suspects, "task long, batch long, hashes binary")
+    # All answers to a task are 8 bytes for each of its lines at most; each batch takes its own.
+    told = answers.groupBy(F.col("task").alias("asked")).agg(F.collect_list(F.struct("batch", "hashes")).alias("told"))
+    own = F.filter("told", lambda x: x["batch"] == F.col("batch"))
+    asked = seen.join(told, F.col("task") == F.col("asked")).select(
+        "digests", "ids", F.transform(own, lambda x: x["hashes"]).alias("suspects")
     )
-    wanted = None
-    if suspects.count() * 8 <= FILTER_BYTES:  # else every occurrence goes to the exact count
-        known = np.sort(suspects.toArrow().column("hash").to_numpy())
-        wanted = spark.sparkContext.broadcast(known)
-    found = materialize(seen.mapInArrow(_pick(wanted), "digest binary, id long"), "suspected-lines")
+    found = materialize(asked.mapInArrow(_pick, "digest binary, id long"), "suspected-lines")
     # Written, so that both sides of the join are plain exchanges: a line held by very many
     # documents is then split over tasks where the adaptive plan finds it.
     first = found.groupBy("digest").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
@@ -224,8 +244,8 @@ def drop_repeated_lines(
     line stays wherever the document with the smallest id holds it, also
     several times there, and goes everywhere else.
 
-    Null and empty text count as one empty line and come back empty. Rows that
-    share an id are one document, so a repeated row loses nothing to its twin.
+    Null and empty text count as one empty line and come back empty. Ids are
+    integers. Rows that share an id are one document, so a repeated row loses nothing to its twin.
     A null id counts as the largest. All other columns stay; columns called
     ``n_lines`` or ``n_dropped`` are replaced. An empty table stays empty.
     """

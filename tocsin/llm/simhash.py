@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tocsin.llm.arrow import Batches, forest, groups, raw, whole_row
 from tocsin.llm.components import components
+from tocsin.llm.skew import hot_keys, join_hot
 from tocsin.session import materialize
 
 SHINGLE = 4
@@ -230,14 +231,17 @@ def near_duplicates(
     are not read. An empty table gives an empty one.
     """
     found = materialize(fingerprints(docs, key, text, shingle), "prints")
-    distinct = materialize(found.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
+    counted = found.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    distinct = materialize(counted, "distinct-prints")
     roots = components(similar_prints(distinct.select("print"), max_bits))
     rooted = distinct.join(roots, F.col("print") == F.col("node"), "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("print", "root").join(named, "root").select("print", "component_id")
-    return found.join(classes, "print").select(
+    classes = materialize(rooted.select("print", "root").join(named, "root").select("print", "component_id"), "classes")
+    # A print that a third of all rows share stays where its rows are.
+    hot = hot_keys(distinct, "print", "rows")
+    return join_hot(found, classes, "print", hot).select(
         F.col("id").alias(key), as_hex(F.col("print")).alias("fingerprint"), "component_id"
     )
 
