@@ -45,14 +45,14 @@ def clear_scratch(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in one folder per value of a column if one is named.
 
     Later readers start from files, so a lost executor costs a re-read and
     not the whole lineage, and each reader prunes its own columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
