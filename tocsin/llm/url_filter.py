@@ -10,12 +10,19 @@ until a level lets nothing through by chance. A key is listed if the first
 level that rejects it is an even one. Each level is a fraction of the one
 before, so the whole is a few bits per listed key, whatever the length of the
 keys, and testing a row is a few byte look-ups instead of a join.
+
+Filters travel with the plan, so those of one cascade stay below a bound. A
+larger universe is dealt into slices by a hash of the key, each with a cascade
+of its own; the rows are written once by slice, and every slice is judged from
+its own folder. The driver holds the filters of one slice at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil, exp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +32,8 @@ from tocsin.session import materialize
 BITS_PER_KEY = 8
 PROBES = 4
 MAX_LEVELS = 40
-MAX_FILTER_BYTES = 32 << 20  # all levels together, as they travel with the plan
+MAX_FILTER_BYTES = 32 << 20  # all levels of a cascade together, as they travel with the plan
+MARGIN = 1.25  # between the expected and the largest size of a slice's cascade
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -105,8 +113,6 @@ def _build_level(keys: DataFrame, level: int, count: int) -> Level:
     What reaches the driver is the filter, ``BITS_PER_KEY`` bits per key.
     """
     bits = max(64, -(-count * BITS_PER_KEY // 64) * 64)
-    if bits // 8 > MAX_FILTER_BYTES:
-        raise ValueError("filter is larger than MAX_FILTER_BYTES; use listed_by_join")
     at = F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("at")
     words = (
         keys.select(at)
@@ -119,35 +125,57 @@ def _build_level(keys: DataFrame, level: int, count: int) -> Level:
     return Level(bits, bytes(data))
 
 
-def build_cascade(universe: DataFrame, key: str, listed: str) -> list[Level]:
-    """Cascade that answers exactly for every key of ``universe``.
+def universe_keys(universe: DataFrame, key: str, listed: str) -> DataFrame:
+    """(key, listed): every key of ``universe`` once, written.
 
     ``universe`` has a key column (any of the corpus, repeats and nulls
     allowed; a null is no key) and a boolean saying whether that key is
-    listed. A key is listed if any of its rows says so. No listed key gives an
-    empty cascade, which lists nothing.
+    listed. A key is listed if any of its rows says so.
     """
-    keys = materialize(
+    return materialize(
         universe.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
         .agg(F.coalesce(F.bool_or(F.col(listed)), F.lit(False)).alias("listed")),
         "url-keys",
     )
+
+
+def slices_needed(listed: int, others: int) -> int:
+    """Slices that keep each cascade below :data:`MAX_FILTER_BYTES`.
+
+    Every second level holds what passes the level before by chance, a fixed
+    share of the listed keys or of the others.
+    """
+    chance = (1 - exp(-PROBES / BITS_PER_KEY)) ** PROBES
+    keys = (listed + chance * others) / (1 - chance)
+    return max(1, ceil(MARGIN * keys * BITS_PER_KEY / 8 / MAX_FILTER_BYTES)) if listed else 1
+
+
+def slice_of(key: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slice"), key), F.lit(slices)).cast("int")
+
+
+def cascade(keys: DataFrame) -> list[Level]:
+    """Cascade that answers exactly for every row of ``keys`` (key, listed), each there once.
+
+    No listed key gives an empty cascade, which lists nothing.
+    """
     levels: list[Level] = []
     stored, others = keys.filter("listed"), keys.filter("NOT listed")
-    size = 0
     for level in range(MAX_LEVELS):
         count = stored.count()
         if not count:
             return levels
         levels.append(_build_level(stored, level, count))
-        size += len(levels[-1].data)
-        if size > MAX_FILTER_BYTES:
-            raise ValueError("filters are larger than MAX_FILTER_BYTES; use listed_by_join")
         stored, others = others.filter(_passes(F.col("key"), level, levels[-1])), stored
     raise RuntimeError("the cascade does not end")
 
 
+def build_cascade(universe: DataFrame, key: str, listed: str) -> list[Level]:
+    """One cascade over all keys of ``universe``, as :func:`universe_keys` takes it."""
+    return cascade(universe_keys(universe, key, listed))
+
+
 def is_listed(key: Column, levels: Sequence[Level]) -> Column:
     """Exact membership for keys of the universe the cascade was built over; null is not listed."""
     answer = F.lit(bool(len(levels) % 2))  # passed every level: in the set that the last one stores
@@ -157,12 +185,21 @@ def is_listed(key: Column, levels: Sequence[Level]) -> Column:
     return F.coalesce(F.when(key.isNotNull(), answer), F.lit(False))
 
 
-def listed_by_join(df: DataFrame, universe: DataFrame, key: str, listed: str, name: str) -> DataFrame:
-    """The same answer by an equi-join, for lists whose cascade exceeds the bound."""
-    yes = universe.filter(F.col(listed)).select(F.col(key).alias("found")).distinct()
+def with_listed(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: whether the row's key is listed in ``keys`` (key, listed), which holds every key of ``df``."""
+    sizes = keys.agg(F.count_if("listed").alias("yes"), F.count_if(~F.col("listed")).alias("no")).first()
+    slices = slices_needed(sizes.yes, sizes.no)
+    if slices == 1:
+        return df.withColumn(name, is_listed(F.col(key), cascade(keys)))
     rows = df.select(F.struct(*[c for c in df.columns if c != name]).alias("row"), F.col(key).alias("sought"))
-    joined = rows.join(yes, F.col("sought") == F.col("found"), "left")
-    return joined.select("row.*", F.col("found").isNotNull().alias(name))
+    dealt = materialize(rows.withColumn("slice", slice_of(F.col("sought"), slices)), "by-slice", "slice")
+    dealt_keys = materialize(keys.withColumn("slice", slice_of(F.col("key"), slices)), "keys-by-slice", "slice")
+    parts = []
+    for n in range(slices):
+        levels = cascade(dealt_keys.filter(F.col("slice") == n).select("key", "listed"))
+        own = dealt.filter(F.col("slice") == n).select("row.*", is_listed(F.col("sought"), levels).alias(name))
+        parts.append(materialize(own, "judged"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
@@ -172,18 +209,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
     a host with any page that a rule blocks is listed, and its other pages are
     blocked as well; all others are allowed. A null url, or one without
     ``://``, has an empty host and path; columns of the four names are
-    replaced. Repeated rows are judged alike. An empty table stays empty.
+    replaced, as is ``_listed``. Repeated rows are judged alike. An empty table
+    stays empty.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     ruled = split.withColumns({"rule": rule, "verdict": verdict})
     universe = ruled.select("host", (F.col("verdict") == "block").alias("listed"))
-    count = universe.filter("listed").select("host").distinct().count()
-    if count * BITS_PER_KEY // 8 * 2 > MAX_FILTER_BYTES:
-        known = listed_by_join(ruled.withColumn("rule", F.struct("rule", "verdict")), universe, "host", "listed", "verdict")
-        own = F.when(F.col("verdict"), F.lit("block")).otherwise(F.lit("allow"))
-        return known.withColumn("verdict", F.coalesce("rule.verdict", own)).withColumn("rule", F.col("rule.rule"))
-    listed = is_listed(F.col("host"), build_cascade(universe, "host", "listed"))
-    own = F.when(listed, F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.withColumn("verdict", F.coalesce("verdict", own))
+    known = with_listed(ruled, "host", universe_keys(universe, "host", "listed"), "_listed")
+    own = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))
+    return known.withColumn("verdict", F.coalesce("verdict", own)).drop("_listed")
