@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tocsin.functions.transducer import Script, romanize
+
 # --- fixed values: Malayalam to ITRANS ------------------------------------
 MALAYALAM_CONSONANTS = {
     "ക": "k", "ഖ": "kh", "ഗ": "g", "ഘ": "gh", "ങ": "~N",
@@ -32,6 +34,11 @@ MALAYALAM_OTHERS = {
     "൫": "5", "൬": "6", "൭": "7", "൮": "8", "൯": "9",
 }
 VIRAMA = "്"
+MALAYALAM_JOINED = {  # a consonant, the virama and a zero-width joiner
+    "ണ്\u200d": "ൺ", "ന്\u200d": "ൻ", "ര്\u200d": "ർ",
+    "ല്\u200d": "ൽ", "ള്\u200d": "ൾ", "ക്\u200d": "ൿ",
+}
+MALAYALAM_COMPOSED = {"െ" + "ാ": "ൊ", "േ" + "ാ": "ോ", "െ" + "ൗ": "ൌ"}
 
 # --- fixed values: accented Latin letters to ASCII ------------------------
 LATIN_ACCENTS = {
@@ -45,6 +52,18 @@ LATIN_ACCENTS = {
 }
 
 
+MALAYALAM = Script(
+    first=0x0D00,
+    last=0x0D7F,
+    consonants=MALAYALAM_CONSONANTS,
+    signs=MALAYALAM_SIGNS,
+    others=MALAYALAM_VOWELS | MALAYALAM_OTHERS,
+    virama=VIRAMA,
+    joined=MALAYALAM_JOINED,
+    composed=MALAYALAM_COMPOSED,
+)
+
+
 def map_characters(c: Column, mapping: Mapping[str, str]) -> Column:
     """Replace characters: one-to-one in a single pass, longer ones each in turn."""
     single = {k: v for k, v in mapping.items() if len(v) == 1}
@@ -59,17 +78,5 @@ def romanize_latin(c: Column, mapping: Mapping[str, str] = LATIN_ACCENTS) -> Col
 
 
 def romanize_malayalam(c: Column) -> Column:
-    """ITRANS copy of Malayalam text.
-
-    A consonant carries an ``a`` unless a vowel sign or the virama follows,
-    so that letter is written in first. Text without Malayalam is returned
-    as it is.
-    """
-    consonants = "".join(MALAYALAM_CONSONANTS)
-    silent = "".join(MALAYALAM_SIGNS) + VIRAMA
-    text = F.regexp_replace(c, f"([{consonants}])(?![{silent}])", "$1a")
-    text = F.replace(text, F.lit(VIRAMA), F.lit(""))
-    text = map_characters(
-        text, {**MALAYALAM_CONSONANTS, **MALAYALAM_VOWELS, **MALAYALAM_SIGNS, **MALAYALAM_OTHERS}
-    )
-    return F.when(F.rlike(c, F.lit("[ഀ-ൿ]")), text).otherwise(c)
+    """ITRANS copy of Malayalam text; text without Malayalam is returned as it is."""
+    return romanize(c, MALAYALAM)

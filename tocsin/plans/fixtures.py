@@ -167,3 +167,8 @@ def answers(df: DataFrame, experiments: Sequence[tuple[str, str, int]] = EXPERIM
         .when(kind == 2, F.lit("no idea"))
         .otherwise("ERROR"),
     )
+
+
+# Letters a to z as Malayalam: vowels as signs, x as virama, y as joiner, w as a joined letter.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+AS_MALAYALAM = "ാബചദെഫഗഹിജകലമനൊപംരസതുവൻ്\u200dഴ"

@@ -8,9 +8,9 @@ models as plain relational algebra. Queries without an entry are iterative
 from __future__ import annotations
 
 from tocsin.constants import ALPHAS, BAD_PREFIXES, CLASSES, RESPONSE_LABELS, STOP_WORDS
-from tocsin.functions.romanize import LATIN_ACCENTS
+from tocsin.functions.romanize import LATIN_ACCENTS, MALAYALAM
 from tocsin.operators.tables import snake
-from tocsin.plans.fixtures import EXPERIMENTS, label_map
+from tocsin.plans.fixtures import AS_MALAYALAM, EXPERIMENTS, LATIN, label_map
 
 W = r"\p{L}\p{N}_"
 SP = r"\x09-\x0d\x1c-\x20\x85\p{Z}"
@@ -367,6 +367,26 @@ for _k, _v in LATIN_ACCENTS.items():
 _single = {k: v for k, v in LATIN_ACCENTS.items() if len(v) == 1}
 ROMANIZE = f"translate({romanized}, {q(''.join(_single))}, {q(''.join(_single.values()))})"
 
+def malayalam_sql(text: str) -> str:
+    """Letters a-z written in Malayalam and romanised again by a chain of replacements.
+
+    A mark stands behind every consonant and falls where a sign or the virama follows.
+    """
+    c = f"translate(lower({text}), '{LATIN}', '{AS_MALAYALAM}')"
+    for spelled, letter in MALAYALAM.joined.items():
+        c = f"replace({c}, '{spelled}', '{letter}')"
+    c = rf"regexp_replace({c}, '([ഀ-ൿ])[\x{{200C}}\x{{200D}}]+', '\1', 'g')"
+    for spelled, sign in MALAYALAM.composed.items():
+        c = f"replace({c}, '{spelled}', '{sign}')"
+    after = "".join(MALAYALAM.signs) + MALAYALAM.virama
+    c = rf"regexp_replace({c}, '([{''.join(MALAYALAM.consonants)}])', '\1' || chr(57344), 'g')"
+    c = rf"regexp_replace({c}, chr(57344) || '([{after}])', '\1', 'g')"
+    c = f"replace(replace({c}, chr(57344), 'a'), '{MALAYALAM.virama}', '')"
+    for k, v in {**MALAYALAM.consonants, **MALAYALAM.signs, **MALAYALAM.others}.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    return c
+
+
 ORACLES: dict[str, str] = {
     # --- A ---
     "A1_read_messages_tsv": f"""WITH {MESSAGE},
@@ -453,6 +473,7 @@ SELECT target_label, count(*) AS n_words, count(DISTINCT word) AS n_distinct
 FROM w WHERE length(word) > 2 AND NOT list_contains({q_list(STOP_WORDS)}, word) GROUP BY target_label""",
     "B16_correct": f"WITH {PREDS} SELECT model, doc_id, y_true = y_pred AS correct FROM preds",
     "B17_romanize": f"SELECT doc_id, {ROMANIZE.replace('clean_text', 'text')} AS romanized FROM documents",
+    "B17_romanize_malayalam": f"SELECT doc_id, {malayalam_sql('text')} AS romanized FROM documents",
     # --- C ---
     "C1_dataset_summary": f"""WITH {MESSAGE}
 SELECT count(*) AS n_rows, count(*) FILTER (event_set = 'set1') AS n_set1, count(*) FILTER (event_set = 'set2') AS n_set2,
@@ -622,6 +643,9 @@ FROM cent a JOIN cent b ON a.label < b.label""",
 s AS (SELECT cl AS query_id, vec_id, cosine AS similarity FROM cand)
 SELECT query_id, vec_id, round(similarity, 6) AS similarity,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rn FROM s QUALIFY rn <= 5""",
+    "F19_graph_recall": """
+SELECT count(*) AS n_rows, CAST(sum(least(10, (SELECT count(*) FROM embeddings) - 1)) AS BIGINT) AS n_wanted, TRUE AS recall_reached
+FROM embeddings WHERE vec_id % 50 = 0""",
     # --- G ---
     "G1_confusion": f"""WITH {PREDS}
 SELECT m.model, t.target_label AS y_true, p.target_label AS y_pred, count(r.doc_id) AS n

@@ -14,7 +14,7 @@ from tocsin.functions.keys import key_to_long
 from tocsin.functions.romanize import LATIN_ACCENTS
 from tocsin.operators import augment, embeddings, evaluate, experiments, features, labels
 from tocsin.operators import naive_bayes as nb
-from tocsin.operators import profile, sampling, scoring
+from tocsin.operators import neighbours, profile, sampling, scoring
 from tocsin.operators.linear import calibrate, lr_fit, predict, svm_fit, train_table
 from tocsin.operators.romanize import romanize_table
 from tocsin.plans import fixtures as fx
@@ -276,6 +276,14 @@ def B17_romanize(spark, sf):
     return romanize_table(fx.documents(spark, sf, "doc_id", "text"), LATIN_ACCENTS).select("doc_id", "romanized")
 
 
+@query
+def B17_romanize_malayalam(spark, sf):
+    """Texts whose letters a-z are written as Malayalam letters, signs, viramas and joiners, romanised."""
+    docs = fx.documents(spark, sf, "doc_id", "text")
+    native = docs.withColumn("text", F.translate(F.lower("text"), fx.LATIN, fx.AS_MALAYALAM))
+    return romanize_table(native).select("doc_id", "romanized")
+
+
 # --- C: aggregation and profiling ---------------------------------------------
 
 
@@ -759,6 +767,22 @@ def F19_nearest(spark, sf):
     return evaluate.rounded(embeddings.nearest(v, queries, 5))
 
 
+@query
+def F19_graph(spark, sf):
+    """Ten neighbours of every vector."""
+    graph = neighbours.neighbour_graph(fx.table(spark, sf, "embeddings"))
+    return graph.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour"), F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def F19_graph_recall(spark, sf):
+    """Whether the graph reaches a recall of 0.95, measured on every fiftieth vector against all."""
+    v = fx.table(spark, sf, "embeddings")
+    exact = neighbours.exact_neighbours(v, v.filter("vec_id % 50 = 0"), neighbours.K)
+    found = neighbours.recall(neighbours.neighbour_graph(v), exact)
+    return found.select("n_rows", "n_wanted", (F.col("recall") >= 0.95).alias("recall_reached"))
+
+
 @query
 def F20_project_2d(spark, sf):
     return embeddings.project_2d(fx.table(spark, sf, "embeddings"))
