@@ -18,7 +18,7 @@ def own(registered):
 QUERIES, ORACLES = own(entry.queries()), own(entry.oracle_sql())
 ITERATIVE = {
     "F11_logistic_regression", "F12_linear_svm", "F13_calibrated_svm", "F14_score_all",
-    "F16_experiment_grid", "F19_graph", "F20_project_2d",
+    "F16_experiment_grid", "F19_graph", "F20_neighbour_map",
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -64,6 +67,7 @@ def centroid_scores(
 def nearest(
     df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
     query_id: str = "query_id", query_vec: str = "query_vec", block: int = 256,
+    score: Callable[[Column, Column], Column] = cosine,
 ) -> DataFrame:
     """The ``k`` rows most similar to each query vector, exactly; ties go to the smaller id.
 
@@ -86,17 +90,22 @@ def nearest(
         .select(
             F.col(f"_q.{query_id}").alias(query_id),
             id_col,
-            cosine(F.col(vec_col), F.col(f"_q.{query_vec}")).alias("similarity"),
+            score(F.col(vec_col), F.col(f"_q.{query_vec}")).alias("similarity"),
         )
     )
     return top_n_per_group(scored, [query_id], [F.desc("similarity"), F.asc(id_col)], k)
 
 
 def project_2d(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Two principal components as ``x`` and ``y``, other columns kept."""
+    """Two principal components as ``x`` and ``y``, other columns kept.
+
+    A component points to where its largest coefficient is positive.
+    """
     vectors = df.withColumn("_v", _vector(vec_col))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(vectors)
+    axes = model.pc.toArray()
+    x, y = (1.0 if a[np.abs(a).argmax()] > 0 else -1.0 for a in axes.T)
     xy = model.transform(vectors).withColumn("_xy", vector_to_array("_p"))
     return xy.select(
-        *[c for c in df.columns if c != vec_col], F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y")
+        *[c for c in df.columns if c != vec_col], (x * F.col("_xy")[0]).alias("x"), (y * F.col("_xy")[1]).alias("y")
     )

@@ -646,6 +646,30 @@ SELECT query_id, vec_id, round(similarity, 6) AS similarity,
     "F19_graph_recall": """
 SELECT count(*) AS n_rows, CAST(sum(least(10, (SELECT count(*) FROM embeddings) - 1)) AS BIGINT) AS n_wanted, TRUE AS recall_reached
 FROM embeddings WHERE vec_id % 50 = 0""",
+    "F20_project_2d": """
+WITH RECURSIVE long AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+centred AS (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY d) AS z FROM long),
+cells AS (SELECT a.d AS i, b.d AS j, sum(a.z * b.z) AS s FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL),
+cov AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cells GROUP BY i)),
+first_power AS (
+  SELECT 0 AS n, m FROM cov UNION ALL
+  SELECT n + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / list_sum(list_transform(m, lambda w: list_dot_product(w, w)))))
+  FROM first_power WHERE n < 20),
+first_row AS (SELECT m[list_position(diagonal, list_max(diagonal))] AS r FROM (
+  SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diagonal FROM first_power WHERE n = 20)),
+first_unit AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(list_max(r) + list_min(r))) AS u FROM first_row),
+less AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j]
+    - u[i] * u[j] * list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))))) AS m FROM cov, first_unit),
+second_power AS (
+  SELECT 0 AS n, m FROM less UNION ALL
+  SELECT n + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / list_sum(list_transform(m, lambda w: list_dot_product(w, w)))))
+  FROM second_power WHERE n < 20),
+second_row AS (SELECT m[list_position(diagonal, list_max(diagonal))] AS r FROM (
+  SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diagonal FROM second_power WHERE n = 20)),
+second_unit AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(list_max(r) + list_min(r))) AS w FROM second_row)
+SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), u), 6) AS x,
+       round(list_dot_product(CAST(embedding AS DOUBLE[]), w), 6) AS y FROM embeddings, first_unit, second_unit""",
+    "F20_preservation": "SELECT count(*) AS n_rows, TRUE AS better FROM embeddings WHERE vec_id % 50 = 0",
     # --- G ---
     "G1_confusion": f"""WITH {PREDS}
 SELECT m.model, t.target_label AS y_true, p.target_label AS y_pred, count(r.doc_id) AS n

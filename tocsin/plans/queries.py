@@ -14,7 +14,7 @@ from tocsin.functions.keys import key_to_long
 from tocsin.functions.romanize import LATIN_ACCENTS
 from tocsin.operators import augment, embeddings, evaluate, experiments, features, labels
 from tocsin.operators import naive_bayes as nb
-from tocsin.operators import neighbours, profile, sampling, scoring
+from tocsin.operators import neighbours, profile, projection, sampling, scoring
 from tocsin.operators.linear import calibrate, lr_fit, predict, svm_fit, train_table
 from tocsin.operators.romanize import romanize_table
 from tocsin.plans import fixtures as fx
@@ -785,7 +785,26 @@ def F19_graph_recall(spark, sf):
 
 @query
 def F20_project_2d(spark, sf):
-    return embeddings.project_2d(fx.table(spark, sf, "embeddings"))
+    return evaluate.rounded(embeddings.project_2d(fx.table(spark, sf, "embeddings")))
+
+
+@query
+def F20_neighbour_map(spark, sf):
+    """A place in the plane for every vector, near its neighbours."""
+    v = fx.table(spark, sf, "embeddings")
+    placed = projection.neighbour_map(v).withColumnRenamed("id", "vec_id")
+    return evaluate.rounded(placed.join(v.select("vec_id", "label"), "vec_id"))
+
+
+@query
+def F20_preservation(spark, sf):
+    """Whether the map keeps over twice the neighbours that the principal plane keeps, of every fiftieth vector."""
+    v = fx.table(spark, sf, "embeddings")
+    asked = v.filter("vec_id % 50 = 0")
+    placed = projection.neighbour_map(v)
+    plane = embeddings.project_2d(v.select(F.col("vec_id").alias("id"), "embedding"))
+    kept = [projection.preservation(v, m, asked, neighbours.K).toDF("n_rows", c) for m, c in ((placed, "map"), (plane, "plane"))]
+    return kept[0].join(kept[1], "n_rows").select("n_rows", (F.col("map") > 2 * F.col("plane")).alias("better"))
 
 
 # --- G: evaluation ------------------------------------------------------------------
