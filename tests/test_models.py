@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,44 @@ def test_dual_fit_over_several_parts_has_the_same_optimum(spark, train, monkeypa
         linear.svm_fit(table, max_rounds=2, tol=1e-9)
 
 
+def test_rows_at_rest_are_left_out_of_most_epochs(monkeypatch):
+    """A round visits rows that still move; its variables come as close to the optimum."""
+    draw = np.random.default_rng(3)
+    n, size = 600, 400
+    x = draw.random((n, size)) * (draw.random((n, size)) < 0.1)
+    label = draw.integers(0, 2, n).astype("int32")
+    x[:, 0] = label  # most rows are told apart at once
+    x[:, 1] = 1 - label
+    ends = np.cumsum((x > 0).sum(axis=1)).astype("int64")
+    columns = {
+        "ids": np.nonzero(x)[1].astype("int32"), "xs": x[x > 0], "ends": ends, "label": label,
+        "weight": np.ones(n), "fold": np.full(n, -1, "int32"),
+    }
+    rows = pa.table({"part": [0], **{name: [v.tobytes()] for name, v in columns.items()}})
+    state = pa.table({"part": pa.array([], pa.int32()), "alpha": pa.array([], pa.binary())})
+    visits, rng = [], np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.draw = rng(seed)
+
+        def permutation(self, order):
+            out = self.draw.permutation(order)
+            visits.append(len(out))
+            return out
+
+    monkeypatch.setattr(linear.np.random, "default_rng", Counted)
+    out = linear._improved(np.zeros((size + 1, 2)), np.zeros(2), size, 2, 1.0, linear.EPOCHS)((pa.scalar(0),), rows, state)
+    assert sum(visits) < 0.6 * n * len(visits), visits
+    alpha = np.frombuffer(out.column("alpha")[-1].as_py()).reshape(2, n, 2).sum(axis=0)
+    sign = np.where(label[:, None] == np.arange(2), 1.0, -1.0)
+    w = np.vstack([x.T @ (sign * alpha), (sign * alpha).sum(axis=0)])
+    dual = (alpha - 0.25 * alpha * alpha).sum(axis=0) - 0.5 * (w * w).sum(axis=0)
+    short = np.maximum(0.0, 1.0 - sign * (x @ w[:size] + w[size]))
+    primal = 0.5 * (w * w).sum(axis=0) + (short**2).sum(axis=0)
+    assert (alpha >= 0).all() and (dual >= 0.98 * primal).all(), (dual, primal)
+
+
 def test_logistic_regression_reaches_the_optimum(spark, train):
     fitted = scoring.fit_text_model(train, kinds=["Logistic_Regression"], min_df=1)
     m = fitted.models["Logistic_Regression"]
