@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tocsin.streaming import dedup, stateful
 
@@ -111,6 +112,36 @@ def test_generation_loop(spark, tmp_path, target, per_call):
         assert sizes[-1] <= 2, sizes  # one row of progress for each run
 
 
+def test_tasks_send_a_generation_run_no_more_calls_than_its_budget(spark):
+    """Rows behind the budget stay in their task, whatever their order; the row that ends the run is sent."""
+    rows = [(name, i, i // 5 if i >= 5 else None, f"text {i}") for name in ("a", None) for i in range(500)]
+    random.Random(5).shuffle(rows)
+    keyed = spark.createDataFrame(rows, "run string, arrival long, call_id long, fingerprint string").coalesce(1)
+    sent = stateful._cut_in_tasks(keyed, 3).collect()
+    for name in ("a", None):
+        assert sorted(r.arrival for r in sent if r.run == name) == list(range(25))
+
+
+def test_arriving_rows_are_written_and_read_by_several_tasks(spark, monkeypatch):
+    """Each batch lies in several files and is still one micro-batch."""
+    from tocsin.plans import queries
+
+    seen, read = [], queries.dedup.read_stream
+    rows = [(i, i // 5, TEXT.format(i), i // 20) for i in range(60)]
+    df = spark.createDataFrame(rows, "arrival long, call_id long, text string, batch int").repartition(4)
+
+    def watched(session, path, schema, *options):
+        seen.append(len(session.read.parquet(path).inputFiles()))
+        return read(session, path, schema, *options)
+
+    monkeypatch.setattr(queries.dedup, "read_stream", watched)
+    out = queries._arriving(
+        df, 3, lambda s: stateful.generation_loop(s.withColumn("run", F.lit("one")), "run", target=1000, per_call=20), "arrival LONG"
+    )
+    assert sorted(r.arrival for r in out.collect()) == list(range(60))
+    assert seen[0] > 1 and seen[0] < seen[1] < seen[2]
+
+
 def test_delays():
     assert stateful.micros_of("2 hours") == 7_200_000_000
     for wrong in ("", "2", "hours", "-1 day", "1 month"):
