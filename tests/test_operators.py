@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,27 @@ def test_curves_keep_groups_without_a_name(spark):
     points = evaluate.curve_points(evaluate.scores_long(preds, by=["model"]), ["model"])
     found = {r.model: r.n for r in points.groupBy("model").agg(F.count("*").alias("n")).collect()}
     assert found[None] == found["a"] > 0
+
+
+def test_nearest_multiplies_blocks_and_keeps_the_order_of_pairs(spark, monkeypatch):
+    """Copies go by id, rows without a similarity come last, and no row per pair is made."""
+    monkeypatch.setattr(embeddings, "SLICE", 7)
+    draw = np.random.default_rng(1)
+    data = [None, [], [0.0] * 3, [1.0, None, 2.0], [1.0, 2.0], *([[1.0, 2.0, 3.0]] * 4), *draw.standard_normal((30, 3)).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id in (2, 5, 20)").toDF("query_id", "query_vec")
+    found = embeddings.nearest(df, queries, 36, block=2)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    score = {}
+    for q in (5, 20):
+        for i, v in enumerate(data):
+            if v and len(v) == 3 and None not in v and any(v):
+                a, b = np.array(v), np.array(data[q])
+                score[q, i] = float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b))
+    got = {}
+    for r in found.orderBy("query_id", "rn").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+    assert got[2] == [(i, None) for i in range(36)]
+    for q in (5, 20):
+        assert [i for i, _ in got[q]] == sorted(range(39), key=lambda i: (-round(score.get((q, i), -9), 12), i))[:36]
+        assert all(s == (None if (q, i) not in score else pytest.approx(score[q, i])) for i, s in got[q])

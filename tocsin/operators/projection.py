@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.functions.vectors import dot
 from tocsin.operators.embeddings import nearest, project_2d
 from tocsin.operators.neighbours import exact_neighbours, neighbour_graph
 from tocsin.operators.tables import top_n_per_group
@@ -270,5 +269,5 @@ def preservation(df: DataFrame, placed: DataFrame, asked: DataFrame, k: int, id_
     )
 
 
-def _closeness(a: Column, b: Column) -> Column:
-    return 2 * dot(a, b) - dot(a, a) - dot(b, b)
+def _closeness(product: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return 2 * product - a - b, np.ones_like(product, bool)
