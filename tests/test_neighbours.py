@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tocsin.operators import neighbours
 from tocsin.operators.neighbours import exact_neighbours, neighbour_graph, recall
 
@@ -67,3 +69,15 @@ def test_copies_zeros_and_missing_vectors(spark, monkeypatch):
     assert all(r.similarity == 0 for r in rows if r.id == 2)
     assert neighbour_graph(df.limit(0), k=3).collect() == []
     assert neighbour_graph(df.filter("vec_id = 5"), k=3).collect() == []
+
+
+def test_only_what_may_be_nearer_is_handed_on(spark, clustered):
+    """Rows that meet again hand on neither what they have nor what is farther than all they have."""
+    vectors = table(spark, clustered[:300]).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    graph = neighbour_graph(vectors, 5, "id", "vector", rounds=1, width=1).persist()
+    has = {(r.id, r.other) for r in graph.collect()}
+    least = {r.id: r.least for r in graph.groupBy("id").agg(F.min("similarity").alias("least")).collect()}
+    met = neighbours._introduce(graph, vectors, 5).collect()
+    assert met and not has & {(r.id, r.other) for r in met}
+    assert all(r.similarity >= least[r.id] - 1e-9 for r in met)
+    graph.unpersist()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tocsin.operators.embeddings import nearest
 from tocsin.operators.tables import top_n_per_group
@@ -36,16 +37,28 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _meet(k: int):
-    """Rows of a group are compared with one another; each keeps its ``k`` best there."""
+    """Rows of a group are compared with one another; each keeps its ``k`` best there.
 
-    def one(ids: np.ndarray, vectors: np.ndarray):
+    A row comes with the neighbours it has (``has``) and the similarity of the
+    last of them (``least``). What it has already, or could not take its
+    place among them, is not handed on.
+    """
+
+    def one(ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, has: list[np.ndarray]):
         ids, first = np.unique(ids, return_index=True)
         unit = _unit(vectors[first])
         near = unit @ unit.T
         np.fill_diagonal(near, -np.inf)
+        known = np.concatenate([np.empty(0, ids.dtype), *[has[i] for i in first]])
+        at = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
+        here = ids[at] == known
+        near[np.repeat(np.arange(len(ids)), [len(has[i]) for i in first])[here], at[here]] = -np.inf
         most = min(k, len(ids) - 1)
         best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most else np.empty((len(ids), 0), int)
-        return np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(near, best, 1).ravel()
+        close = np.take_along_axis(near, best, 1)
+        # Products of one pair in two groups can differ in their last bits.
+        new = (close > -np.inf) & (close >= least[first][:, None] - 1e-9)
+        return np.repeat(ids, new.sum(axis=1)), ids[best][new], close[new]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +68,8 @@ def _meet(k: int):
                 rows = members.values
                 ids = rows.field("id").to_numpy()
                 vectors = np.stack(rows.field("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
-                a, b, near = one(ids, vectors)
+                least = rows.field("least").to_numpy()
+                a, b, near = one(ids, vectors, least, rows.field("has").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["id", "other", "similarity"])
 
     return task
@@ -63,14 +77,14 @@ def _meet(k: int):
 
 def _best(met: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar of all that a row has met; ties go to the smaller id."""
-    # Products of one pair in two groups can differ in their last bits.
-    once = met.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    # Products of one pair in two groups can differ in their last bits. Dealt by id, once for both steps.
+    once = met.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     return top_n_per_group(once, ["id"], [F.desc("similarity"), F.asc("other")], k).drop("rn")
 
 
 def _compared(groups: DataFrame, k: int) -> DataFrame:
-    """``groups`` has (key, block, id, vector); the rows of one key and block meet."""
-    gathered = groups.groupBy("key", "block").agg(F.collect_list(F.struct("id", "vector")).alias("members"))
+    """``groups`` has (key, block, id, vector, least, has); the rows of one key and block meet."""
+    gathered = groups.groupBy("key", "block").agg(F.collect_list(F.struct("id", "vector", "least", "has")).alias("members"))
     return gathered.select("members").mapInArrow(_meet(k), "id long, other long, similarity double")
 
 
@@ -93,7 +107,8 @@ def _random_cuts(vectors: DataFrame, size: int, rows: int, k: int, orders: int)
         cells.append(sum(sides[1:], sides[0]))
     posted = vectors.select("id", "vector", F.posexplode(F.array(*cells)).alias("order", "cell"))
     posted = posted.select("id", "vector", F.xxhash64("order", "cell").alias("key"))
-    return _compared(_blocks(posted), k)
+    alone = {"least": F.lit(float("-inf")), "has": F.array().cast("array<bigint>")}
+    return _compared(_blocks(posted).withColumns(alone), k)
 
 
 def _product(vector, direction: list[float]):
@@ -123,7 +138,14 @@ def _introduce(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     spread = own.join(counts, "key", "left").select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), "id"
     )
-    groups = dealt.unionByName(spread).distinct().join(vectors, "id")
+    held = graph.groupBy("id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(float("-inf"))).alias("least"),
+        F.collect_list("other").alias("has"),
+    )
+    rows = vectors.join(held, "id", "left").withColumns({
+        "least": F.coalesce("least", F.lit(float("-inf"))), "has": F.coalesce("has", F.array().cast("array<bigint>")),
+    })
+    groups = dealt.unionByName(spread).distinct().join(rows, "id")
     return _compared(groups, k)
 
 
@@ -144,7 +166,9 @@ def neighbour_graph(
     """
     usable = (F.size(vec_col) > 0) & ~F.exists(vec_col, lambda x: x.isNull())
     vectors = df.filter(F.col(id_col).isNotNull() & usable)
-    vectors = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector")), "vectors")
+    # Single precision stays as it is: what travels with every meeting is half as large.
+    stored = F.col(vec_col) if df.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else F.col(vec_col).cast("array<double>")
+    vectors = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), stored.alias("vector")), "vectors")
     shape = vectors.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("size")).first()
     wide = width * k
     met = _random_cuts(vectors, shape["size"] or 1, shape["rows"], wide, orders)
