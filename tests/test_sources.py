@@ -138,3 +138,15 @@ def test_scratch_is_cleared_on_request(spark, tmp_path, monkeypatch):
     assert list(tmp_path.glob("tocsin/*"))
     assert session.clear_scratch(spark)
     assert not list(tmp_path.glob("tocsin/*"))
+
+
+def test_a_stream_is_fed_by_all_cores(spark, tmp_path, monkeypatch):
+    """The files of a stream lie in pieces, at least one for every core, and the batches stay."""
+    from tocsin.plans import queries
+
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: str(tmp_path / "s"))
+    texts = spark.range(400).selectExpr("id as doc_id", "concat('Text ', id % 300, ' of some six words or more') as text")
+    kept = queries._streamed(texts, "doc_id")
+    assert kept.count() == kept.distinct().count() == 300
+    assert len(list((tmp_path / "s/in").glob("*.parquet"))) >= max(7, spark.sparkContext.defaultParallelism)
+    assert len(list((tmp_path / "s/checkpoint/commits").glob("[0-9]*"))) == 3

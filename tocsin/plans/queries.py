@@ -1075,12 +1075,16 @@ def H1_generation_budget(spark, sf):
 
 
 def _streamed(df, order, files=6, per_batch=2, **options):
-    """Fingerprints that a stream over a few files of ``df`` lets through."""
+    """Fingerprints that a stream over a few files of ``df`` lets through.
+
+    Each of the ``files`` is written and read in pieces, enough of them to keep every core at work.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
-    df.repartitionByRange(files, order).write.parquet(f"{path}/in")
+    pieces = max(1, -(-2 * spark.sparkContext.defaultParallelism // files))
+    df.repartitionByRange(files * pieces, order).write.parquet(f"{path}/in")
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    stream = dedup.read_stream(spark, f"{path}/in", schema, per_batch)
+    stream = dedup.read_stream(spark, f"{path}/in", schema, per_batch * pieces)
     unique = dedup.dedup_stream(stream, **options).select("fingerprint")
     dedup.write_stream(unique, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema("fingerprint STRING").parquet(f"{path}/out")
