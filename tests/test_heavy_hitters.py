@@ -11,6 +11,7 @@ from tests.conftest import SF
 from tocsin.operators import features, heavy_hitters
 from tocsin.operators.heavy_hitters import frequent_terms
 from tocsin.plans import fixtures as fx
+from tocsin.plans.queries import QUERIES
 from tocsin.session import cluster_by, write_bucketed
 
 
@@ -119,3 +120,17 @@ def test_buckets(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("s=*/*.parquet"))) == 12
     both = table.alias("a").join(table.alias("b"), "k").hint("merge")
     assert not exchanges(both)
+
+
+def test_only_terms_of_the_vocabulary_are_counted(spark):
+    rows = [(1, "aa bb aa bb cc"), (2, "cc dd"), (3, "dd"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, clean_text string")
+    vocab = spark.createDataFrame([(0, "aa bb", 1.5), (1, "cc", 2.0)], "term_id int, term string, idf double")
+    terms = features.ngrams_table(df, vocab=vocab)
+    assert {(r.doc_id, r.term, r.tf) for r in terms.collect()} == {(1, "aa bb", 2), (1, "cc", 1), (2, "cc", 1)}
+    assert sorted(features.tfidf(terms, vocab).collect()) == sorted(features.tfidf(features.ngrams_table(df), vocab).collect())
+
+
+def test_the_profile_reads_written_features(spark):
+    """The scaler and the profile both read the features; the n-grams are made once."""
+    assert "regexp_extract_all" not in plan_of(QUERIES["F7_matrix_profile"](spark, SF))
