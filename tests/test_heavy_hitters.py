@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tocsin.functions.gram_counts import gram_counts
 from tocsin.operators import features, heavy_hitters
 from tocsin.operators.heavy_hitters import frequent_terms
 from tocsin.plans import fixtures as fx
@@ -134,3 +136,58 @@ def test_only_terms_of_the_vocabulary_are_counted(spark):
 def test_the_profile_reads_written_features(spark):
     """The scaler and the profile both read the features; the n-grams are made once."""
     assert "regexp_extract_all" not in plan_of(QUERIES["F7_matrix_profile"](spark, SF))
+
+
+@pytest.mark.parametrize("gathered", [features.GATHERED, 40, 0])
+@pytest.mark.parametrize("lo, hi", [(1, 1), (1, 2), (2, 3)])
+def test_a_document_is_counted_on_its_own(spark, lo, hi, gathered, monkeypatch):
+    """The same counts of gathered and of long documents; ids repeat, are null or have no words."""
+    monkeypatch.setattr(features, "GATHERED", gathered)
+    rows = [(i % 40 or None, "ab"[i % 2], text) for i, text in corpus(120, 12)]
+    rows += [(7, "a", None), (77, "a", None), (78, "b", ""), (79, None, "x")]
+    true = Counter()
+    for i, label, text in rows:
+        true.update({(i, label, t): c for t, (c, _) in plain([(i, text)], lo, hi).items() if text != "x"})
+    df = spark.createDataFrame(rows, "doc_id long, target_label string, clean_text string")
+    terms = features.ngrams_table(df, lo, hi, carry=["target_label"], batched=True)
+    assert terms.columns == ["doc_id", "target_label", "term", "tf"]
+    got = [((r.doc_id, r.target_label, r.term), r.tf) for r in terms.collect()]
+    assert len(got) == len(true) and dict(got) == dict(true)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_slices_of_a_batch(size):
+    """However the words of a batch are cut, documents stay whole; texts do not run into each other."""
+    texts = [["aa bb aa bb", "bb"], [], [""], ["bb aa", "", "é aa"] * 3, ["cc"]] * 4
+    words = [[t.split() for t in document] for document in texts]
+    known = [None] * len(words)
+    known[4] = "xx"  # counted already
+    rows = {"k": range(len(words)), "_term": pa.array(known, pa.string()), "_tf": range(len(words)), "_texts": words}
+    [batch] = pa.table(rows).to_batches()
+    got = [r for b in gram_counts(["k"], 1, 2, size)([batch, batch.slice(7, 0)]) for r in b.to_pylist()]
+    true = {(4, "xx"): 4}
+    for k, document in enumerate(words):
+        if k != 4:
+            true |= {(k, g): c for g, c in Counter(g for t in document for g in [*t, *map(" ".join, zip(t, t[1:]))]).items()}
+    assert len(got) == len(true) and {(r["k"], r["term"]): r["tf"] for r in got} == true
+
+
+def test_no_task_keeps_the_counts_of_a_partition(spark):
+    """Short documents are one row each where rows are grouped, not one per n-gram."""
+    plan = plan_of(QUERIES["F1_ngrams"](spark, SF))
+    assert "MapInArrow" in plan
+    assert not re.findall(r"HashAggregate\(keys=\[doc_id#\d+L?, term#", plan)
+
+
+def test_batched_counts_of_the_vocabulary(spark):
+    df = spark.createDataFrame([(1, "aa bb aa bb cc"), (2, "cc dd")], "doc_id long, clean_text string")
+    vocab = spark.createDataFrame([(0, "aa bb", 1.5), (1, "cc", 2.0)], "term_id int, term string, idf double")
+    terms = features.ngrams_table(df, vocab=vocab, batched=True)
+    assert sorted(terms.collect()) == sorted(features.ngrams_table(df, vocab=vocab).collect())
+
+
+@pytest.mark.parametrize("name", ["F3_tfidf", "F4_tfidf_plain", "F5_transform", "F6_maxabs"])
+def test_features_count_the_vocabulary_only(spark, name):
+    """Terms outside the vocabulary leave before they are counted."""
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert plan.count("LeftSemi") == plan.count("explode(concat(") > 0
