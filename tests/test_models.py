@@ -285,3 +285,69 @@ def test_projection_spans_the_principal_plane(spark):
     axes = np.linalg.svd(data - data.mean(axis=0))[2][:2]
     for i, r in enumerate(data):
         assert np.abs(got[i]) == pytest.approx(np.abs(axes @ r), abs=1e-6)
+
+
+def test_a_part_in_chunks_and_shares_equals_one_in_one_piece():
+    """Chunks of a part and machines dealt to shares change neither the losses nor the steps."""
+    draw = np.random.default_rng(5)
+    n, size, k = 90, 40, 3
+    x = (draw.random((n, size)) * (draw.random((n, size)) < 0.2)).astype("float32")
+    x[7], x[-1] = 0, 0  # rows without a term
+    label, weight = draw.integers(0, k, n).astype("int32"), draw.random(n) + 0.5
+
+    def packed(cuts):
+        out = {"part": [], "chunk": [], **{c: [] for c in ("ids", "xs", "ends", "label", "weight", "fold")}}
+        for at, (u, v) in enumerate(zip(cuts, cuts[1:])):
+            some = x[u:v]
+            for name, value in (
+                ("part", 4), ("chunk", at), ("ids", np.nonzero(some)[1].astype("uint16").tobytes()),
+                ("xs", some[some > 0].tobytes()), ("ends", np.cumsum((some > 0).sum(axis=1)).astype("int64").tobytes()),
+                ("label", label[u:v].tobytes()), ("weight", weight[u:v].tobytes()),
+                ("fold", np.full(v - u, -1, "int32").tobytes()),
+            ):
+                out[name].append(value)
+        return pa.table(out)
+
+    state = pa.table({"part": pa.array([], pa.int32()), "alpha": pa.array([], pa.binary())})
+    w = draw.normal(size=(size + 1, k))
+
+    def run(rows, turns=None):
+        out = linear._improved(w, np.zeros(k), size, k, 1.0, 20, 1e-3, turns)((pa.scalar(4),), rows, state)
+        return {r["term_id"]: np.array(r["g"]) for r in out.to_pylist()}
+
+    whole = run(packed([0, n]))
+    pieces = run(packed([0, 8, 50, n]).take([2, 0, 1]))  # in any order
+    shares = [run(packed([0, n]), [{4: m}]) for m in ([0, 2], [1])]
+    dense = x @ w[:size] + w[size]
+    sign = np.where(label[:, None] == np.arange(k), 1.0, -1.0)
+    loss = (weight[:, None] * np.maximum(0, 1 - sign * dense) ** 2).sum(axis=0)
+    assert np.allclose(whole[-1], loss, rtol=1e-6)
+    for term, g in whole.items():
+        assert np.allclose(g, pieces[term], atol=1e-9)
+        assert np.allclose(g, sum(s.get(term, np.zeros(k)) for s in shares), atol=1e-9)
+
+
+def test_several_parts_need_few_rounds(spark, train, monkeypatch):
+    """In a turn no two parts move the same machine, so parts do not undo each other's steps."""
+    fitted = scoring.fit_text_model(train, kinds=[], min_df=1)
+    x = scoring.train_features(train, fitted)
+    table = linear.train_table(x, train, profile.class_weights(train), fitted.vocab.count())
+    monkeypatch.setattr(linear, "PART_ROWS", 20)
+    assert linear.svm_fit(table, max_rounds=12, tol=1e-3).gap <= 1e-3
+    _, turns, n_parts = linear._parts(table.rows.withColumn("fold", F.lit(-1)), fitted.vocab.count(), 5)
+    assert n_parts > 1 and all(
+        len(busy := [m for some in turn.values() for m in some]) == len(set(busy)) for turn in turns
+    )
+    assert {m for turn in turns for some in turn.values() for m in some} == set(range(5))
+
+
+def test_train_features_are_those_of_any_split(spark, train):
+    """Written features are read again, but for ids with rows of two labels."""
+    twice = train.unionByName(train.filter("doc_id = 3").withColumn("target_label", F.lit(CLASSES[4])))
+    for df, reads in ((train, True), (twice, False)):
+        fitted = scoring.fit_text_model(df, kinds=[], min_df=1)
+        kept, anew = scoring.train_features(df, fitted), scoring.features_of(df, fitted)
+        a, b = ({(r.doc_id, r.term_id): round(r.x, 9) for r in f.collect()} for f in (kept, anew))
+        assert a == b and kept.columns == anew.columns
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert ("regexp_extract_all" not in plan) == reads
