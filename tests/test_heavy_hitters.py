@@ -191,3 +191,21 @@ def test_features_count_the_vocabulary_only(spark, name):
     """Terms outside the vocabulary leave before they are counted."""
     plan = plan_of(QUERIES[name](spark, SF))
     assert plan.count("LeftSemi") == plan.count("explode(concat(") > 0
+
+
+@pytest.mark.parametrize("lo, hi", [(1, 1), (1, 2), (2, 3)])
+def test_listed_terms_are_counted_as_through_the_filter(spark, lo, hi, monkeypatch):
+    """Exact counts of candidates looked up as numbers, and of those that pass the filter, are the plain ones."""
+    rows = [*corpus(1500, 600, seed=7), (9001, None), (9002, ""), (9003, "w0001")]
+    df = spark.createDataFrame(rows, "doc_id long, clean_text string").repartition(3)
+    true = plain(rows, lo, hi)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(heavy_hitters, "LISTED", most)
+        got = {r.term: (r.cnt, r.df) for r in frequent_terms(df, 15, lo=lo, hi=hi, capacity=60).collect()}
+        assert all(true[t] == c for t, c in got.items())
+        assert top(got, 15) == top(true, 15)
+    monkeypatch.setattr(heavy_hitters, "SLICE", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["words"])
+    wanted = sorted(true)[::3]
+    counted = heavy_hitters._listed([batch, batch.slice(0, 0)], lo, hi, pa.array([*wanted, "no such term"])).to_pydict()
+    assert dict(zip(counted["term"], zip(counted["cnt"], counted["df"]))) == {t: true[t] for t in wanted}
